@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailcast import DATE, KEYS, TARGET
@@ -25,23 +25,22 @@ REPORT_SCHEMA = (
 )
 
 
-def fences(df: DataFrame, target: str, multiplier: float, keys: Sequence[str] | None) -> tuple[Column, Column]:
-    """Lower and upper bound around the quartiles, as columns usable on ``df``."""
+def _with_fences(df: DataFrame, target: str, multiplier: float, keys: Sequence[str] | None) -> DataFrame:
+    """Add ``_low`` and ``_high``, the bounds around the quartiles."""
     if keys:
         q = series_quantiles(target, (0.25, 0.75)).over(Window.partitionBy(*keys))
     else:
         q = global_quantiles(df, target, (0.25, 0.75)).scalar()
-    q1, q3 = F.get(q, F.lit(0)), F.get(q, F.lit(1))
+    q1, q3 = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
     spread = (q3 - q1) * F.lit(float(multiplier))
-    return q1 - spread, q3 + spread
+    return df.withColumn("_q", q).withColumns({"_low": q1 - spread, "_high": q3 + spread}).drop("_q")
 
 
 def detect_iqr(
     df: DataFrame, target: str = TARGET, multiplier: float = 1.5, keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Add ``anomaly_iqr``: strictly outside the fences; never for null."""
-    low, high = fences(df, target, multiplier, keys)
-    bounded = df.withColumns({"_low": low, "_high": high})
+    bounded = _with_fences(df, target, multiplier, keys)
     x = F.col(target)
     outside = F.coalesce((x < F.col("_low")) | (x > F.col("_high")), F.lit(False))
     return bounded.withColumn("anomaly_iqr", outside).drop("_low", "_high")
@@ -112,8 +111,7 @@ def _repair(
         return df.withColumn("_new", kept)
     if strategy == "interpolate":
         return _interpolate(df.withColumn("_new", kept), "_new", keys, date, order_by)
-    low, high = fences(df, target, CAP_MULTIPLIER, keys)
-    bounded = df.withColumns({"_low": low, "_high": high})
+    bounded = _with_fences(df, target, CAP_MULTIPLIER, keys)
     clipped = F.when(F.col(target).isNotNull(), F.least(F.greatest(F.col(target), F.col("_low")), F.col("_high")))
     return bounded.withColumn("_new", clipped).drop("_low", "_high")
 

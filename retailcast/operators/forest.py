@@ -15,13 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from retailcast.operators.quantiles import global_quantiles
 
 POOL_SAMPLES = 32  # the pool holds this many samples; a tree draws one of them
 EULER_GAMMA = 0.5772156649015329
 
-_NODES = "tree int, feature array<int>, threshold array<double>, left array<int>, depth array<double>"
+_NODES = "tree int, points int, feature array<int>, threshold array<double>, left array<int>, depth array<double>"
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -116,7 +117,7 @@ class IsolationForest:
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(pdf["tree"].iloc[0])
             points = np.array(sorted(map(tuple, pdf["x"])))
-            return pd.DataFrame([{"tree": tree, **_grow(points, limit, np.random.default_rng([seed, tree]))}])
+            return pd.DataFrame([{"tree": tree, "points": len(points), **_grow(points, limit, np.random.default_rng([seed, tree]))}])
 
         nodes = drawn.groupBy("tree").applyInPandas(grow, _NODES).orderBy("tree").collect()
         self.trees = [
@@ -128,14 +129,14 @@ class IsolationForest:
             }
             for n in nodes
         ]
-        self.drawn = min(self.sample_size, pool.count())
+        self.drawn = max((n["points"] for n in nodes), default=0)
         return self
 
     def score(self) -> Column:
         """Anomaly score in (0, 1]; higher is more isolated."""
         trees, scale = self.trees, max(float(mean_path(self.drawn)), 1e-12)
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(DoubleType())
         def isolation(*columns: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             total = np.zeros(len(x))

@@ -3,8 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one task. That is fine for
 one series (at most one value per day) and wrong for a whole table, for which
 ``global_quantiles`` finds the needed ranks in two steps: distinct values are counted
-map-side, cut into many buckets by a quantile sketch, and only the buckets that hold
-a wanted rank are sorted. The sketch decides balance only, never the result.
+map-side, cut into many buckets at the quantiles of a sample, and only the buckets that hold
+a wanted rank are sorted. The sample decides balance only, never the result.
 """
 
 from __future__ import annotations
@@ -30,21 +30,20 @@ def global_quantiles(
     if buckets < 2 or buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
     value = F.nanvl(F.col(target).cast("double"), F.lit(None).cast("double"))
-    counts = (
-        df.select(value.alias("x")).where(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    )
-    cuts = [i / buckets for i in range(1, buckets)]
-    # the last slot is never compared with: a value above every cut is in the last bucket
-    edges = counts.agg(
-        F.percentile_approx("x", F.array(*[F.lit(c) for c in cuts]), 10 * buckets).alias("edges")
-    ).scalar()
-    placed = counts.withColumn("edges", edges).withColumn("b", F.lit(0))
-    step = buckets // 2
+    counts = df.select(value.alias("x")).where(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    # keeps the count in both uses below, so that they share one exchange and the input is read once
+    counts = counts.where(F.col("c") > 0)
+    # the values of smallest hash are a fixed random sample, of bounded size
+    sample = counts.orderBy(F.xxhash64("x"), "x").limit(8 * buckets).agg(F.sort_array(F.collect_list("x")).alias("s"))
+    at = f"transform(sequence(1, {buckets - 1}), i -> get(s, cast(i * size(s) / {buckets} AS int)))"
+    edges = sample.select(F.expr(at).alias("edges")).scalar()
+    # binary search: the number of edges below the value
+    steps, step = [], buckets // 2
     while step:
-        above = F.get("edges", F.col("b") + F.lit(step - 1)) < F.col("x")
-        placed = placed.withColumn("b", F.when(above, F.col("b") + step).otherwise(F.col("b")))
+        steps.append(str(step))
         step //= 2
-    placed = placed.select("x", "c", "b")
+    search = f"aggregate(array({', '.join(steps)}), 0, (b, s) -> b + if(get(edges, b + s - 1) < x, s, 0))"
+    placed = counts.withColumn("edges", edges).select("x", "c", F.expr(search).alias("b"))
 
     # at most ``buckets`` rows
     whole = Window.orderBy("b")
@@ -54,27 +53,16 @@ def global_quantiles(
         (F.sum("size").over(whole) - F.col("size")).alias("before"),
         F.sum("size").over(Window.partitionBy()).alias("n"),
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("n") - 1)).alias("h"))
-            for i, p in enumerate(probs)
-            for k in (0, 1)
-        ]
-    )
-    rank = F.when(F.col("t.k") == 0, F.floor("t.h")).otherwise(F.ceil("t.h"))
-    ranks = (
-        totals.withColumn("t", F.explode(wanted))
-        .select("b", "size", "before", F.col("t.i").alias("i"), F.col("t.k").alias("k"), F.col("t.h").alias("h"), rank.alias("r"))
-        .where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("size")))
-    )
-    in_bucket = Window.partitionBy("b").orderBy("x")
-    hit_buckets = ranks.select("b", "before").distinct()
-    numbered = placed.join(hit_buckets, "b").select(
-        "b", "x", "c", (F.col("before") + F.sum("c").over(in_bucket)).alias("upto")
-    )
-    found = numbered.join(ranks.select("b", "i", "k", "h", "r"), "b").where(
-        (F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("c"))
+    wanted = ", ".join(
+        f"named_struct('i', {i}, 'k', {k}, 'h', {float(p)!r}D * (n - 1), 'r', {f}({float(p)!r}D * (n - 1)))"
+        for i, p in enumerate(probs)
+        for k, f in ((0, "floor"), (1, "ceil"))
     )
+    inside = F.expr(f"filter(array({wanted}), t -> t.r >= before AND t.r < before + size)")
+    hits = totals.select("b", "before", inside.alias("ranks")).where(F.size("ranks") > 0)
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("b").orderBy("x"))
+    numbered = placed.join(hits, "b").select("x", "c", upto.alias("upto"), "ranks")
+    found = numbered.select("x", F.expr("inline(filter(ranks, t -> t.r < upto AND t.r >= upto - c))"))
     picks = []
     for i in range(len(probs)):
         low = F.max(F.when((F.col("i") == i) & (F.col("k") == 0), F.col("x")))

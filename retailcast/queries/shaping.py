@@ -175,7 +175,7 @@ def holiday_flags(spark, sf):
     "j6_future_values",
     "store_nbr i, family s, date d, transactions i",
     f"""WITH {SALES}, {TRANSACTIONS}, ends AS (SELECT store_nbr, family, MAX(date) AS last FROM sales GROUP BY 1, 2),
-    future AS (SELECT store_nbr, family, CAST(last + i AS DATE) AS date FROM ends, generate_series(1, 28) AS g(i))
+    future AS (SELECT store_nbr, family, CAST(last + CAST(i AS INT) AS DATE) AS date FROM ends, generate_series(1, 28) AS g(i))
     SELECT f.*, transactions FROM future f
     LEFT JOIN transactions t ON f.date = t.date AND f.store_nbr = t.store_nbr""",
 )
@@ -674,7 +674,7 @@ def date_arithmetic(spark, sf):
     "f14_future_calendar",
     "store_nbr i, family s, date d",
     f"""WITH {SALES}, ends AS (SELECT store_nbr, family, MAX(date) AS last FROM sales GROUP BY 1, 2)
-    SELECT store_nbr, family, CAST(last + i AS DATE) AS date FROM ends, generate_series(1, 28) AS g(i)""",
+    SELECT store_nbr, family, CAST(last + CAST(i AS INT) AS DATE) AS date FROM ends, generate_series(1, 28) AS g(i)""",
 )
 def future_calendar(spark, sf):
     return panel.future_calendar(b.sales(spark, sf), 28)
