@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from retailcast import DATE, KEYS, TARGET
 from retailcast.config import BacktestConfig
 from retailcast.functions.metrics import METRICS, all_metrics, two_sided_p
-from retailcast.operators.panel import global_span, require_daily_grain, series_window
+from retailcast.operators.panel import global_span, require_daily_grain, series_window, spread
 
 Model = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
@@ -208,28 +208,39 @@ def model_predictions(
         first_end, run, last_id = pd.Timestamp(head["_first_end"]), int(head["_run"]), int(head["_last"])
         rows = pdf[columns].reset_index(drop=True)
         days, out = rows[date], []
+        truth = rows[target].to_numpy(dtype=float)
         for window_id in range(run * windows_per_task, min((run + 1) * windows_per_task, last_id + 1)):
             train_end = first_end + pd.Timedelta(days=step * window_id)
             begin = pd.Timestamp(head["_lo"]) + pd.Timedelta(days=step * window_id if rolling else 0)
-            lo, mid, hi = days.searchsorted([begin, train_end + pd.Timedelta(days=1), train_end + pd.Timedelta(days=test_days + 1)])
+            edges = [begin, train_end + pd.Timedelta(days=1), train_end + pd.Timedelta(days=test_days + 1)]
+            lo, mid, hi = days.searchsorted(edges)
             if mid - lo < least or hi == mid:
                 continue
-            train, test = rows.iloc[lo:mid], rows.iloc[mid:hi]
-            part = test[[*keys, date]].assign(window_id=window_id, y=test[target].astype(float))
             for name, model in fitted.items():
+                yhat, error = np.full(hi - mid, np.nan), None
                 try:
-                    yhat = np.asarray(model(train.copy(), test.copy()), dtype=float)
-                    if yhat.shape != (len(test),):
-                        raise ValueError(f"expected {len(test)} predictions, got shape {yhat.shape}")
-                    out.append(part.assign(model=name, yhat=yhat, error=None))
+                    given = np.asarray(model(rows.iloc[lo:mid].copy(), rows.iloc[mid:hi].copy()), dtype=float)
+                    if given.shape != yhat.shape:
+                        raise ValueError(f"expected {hi - mid} predictions, got shape {given.shape}")
+                    yhat = given
                 except Exception as e:  # noqa: BLE001 - the failure becomes a row
-                    out.append(part.assign(model=name, yhat=np.nan, error=f"{type(e).__name__}: {e}"))
+                    error = f"{type(e).__name__}: {e}"
+                out.append((window_id, mid, hi, name, yhat, error))
         if not out:
             return pd.DataFrame(columns=names)
-        result = pd.concat(out, ignore_index=True)[names]
-        return result.assign(**{date: result[date].dt.date})
-
-    predicted = placed.groupBy(*keys, "_run").applyInPandas(evaluate, schema)
+        at = np.concatenate([np.arange(mid, hi) for _, mid, hi, _, _, _ in out])
+        times = [hi - mid for _, mid, hi, _, _, _ in out]
+        result = rows[[*keys, date]].iloc[at].reset_index(drop=True)
+        return result.assign(
+            **{date: result[date].dt.date},
+            window_id=np.repeat([o[0] for o in out], times),
+            model=np.repeat(np.array([o[3] for o in out], dtype=object), times),
+            y=truth[at],
+            yhat=np.concatenate([o[4] for o in out]),
+            error=np.repeat(np.array([o[5] for o in out], dtype=object), times),
+        )[names]
+
+    predicted = spread(placed, *keys, "_run").groupBy(*keys, "_run").applyInPandas(evaluate, schema)
     none = F.lit(None).cast("double")
     return predicted.withColumns({"y": F.nanvl("y", none), "yhat": F.nanvl("yhat", none)})
 

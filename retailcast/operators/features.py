@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailcast import DATE, KEYS, TARGET
-from retailcast.operators.joins import lookup_join
+from retailcast.operators.joins import join_per_date, lookup_join
 from retailcast.operators.ordered import filled, global_lag, ordered_scan
 from retailcast.operators.panel import known_series, require_daily_grain, series_window
 
@@ -115,7 +115,7 @@ def add_holiday_features(
         flags = {holiday_column(str(t)): F.max((F.col("type").eqNullSafe(F.lit(t))).cast("int")) for t in types}
         if flags:
             per_day = days.groupBy(date).agg(*[c.alias(n) for n, c in flags.items()])
-            out = out.join(per_day, date, "left").withColumns(
+            out = join_per_date(out, per_day, date).withColumns(
                 {n: F.coalesce(F.col(n), F.lit(0)) for n in flags}
             )
     return out.withColumn("days_to_payday", days_to_payday(date))
@@ -163,7 +163,7 @@ def add_oil_features(
     if "dcoilwtico" not in df.columns:
         return df
     if by == "date":
-        return df.join(oil_by_date(df, date) if oil_days is None else oil_days, date, "left")
+        return join_per_date(df, oil_by_date(df, date) if oil_days is None else oil_days, date)
     if by != "row":
         raise ValueError(f"unknown step: {by}")
     numbered = ordered_scan(df, order_by, "dcoilwtico").withColumn("oil_price", filled("dcoilwtico"))

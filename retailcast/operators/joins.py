@@ -1,8 +1,9 @@
 """Joins of the sales rows with their lookup tables.
 
-No side carries a broadcast hint: Catalyst broadcasts a lookup while its measured
-size is under the session's threshold and falls back to a shuffled join, with
-adaptive skew splitting, beyond it.
+A lookup of free size carries no broadcast hint: Catalyst broadcasts it while its measured
+size is under the session's threshold and falls back to a shuffled join, with adaptive
+skew splitting, beyond it. Only tables reduced to one row per date are broadcast outright,
+as the calendar bounds them.
 """
 
 from __future__ import annotations
@@ -57,6 +58,15 @@ def lookup_join(
     return left.join(right, matched, "left").drop(*[f"_right_{c}" for c in on])
 
 
+def join_per_date(fact: DataFrame, per_date: DataFrame, date: str = "date") -> DataFrame:
+    """Left join with a table grouped by date, without shuffling the fact rows.
+
+    A century has 36,525 dates and the date type itself 3.7 million, so the broadcast side
+    stays small whatever the size of the data.
+    """
+    return fact.join(F.broadcast(per_date), date, "left")
+
+
 def merge_sources(
     sales: DataFrame,
     stores: DataFrame | None = None,

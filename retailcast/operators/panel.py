@@ -124,6 +124,15 @@ def min_group_size(df: DataFrame, keys: Sequence[str] = KEYS, min_rows: int = 10
     return sized.where(F.col("_size") >= min_rows).drop("_size")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Place rows by key over all shuffle partitions.
+
+    Adaptive execution merges partitions by their bytes; groups of few bytes but much
+    computing would all end in one task. A stated number of partitions is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def last_rows(df: DataFrame, n: int, keys: Sequence[str] = KEYS, date: str = DATE) -> DataFrame:
     """The last ``n`` rows of each series."""
     back = F.row_number().over(series_window(keys, F.col(date).desc()))

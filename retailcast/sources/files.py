@@ -106,8 +106,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("store_nbr", "family")) -> None:
-    """Parquet in one folder per key; Spark escapes what a folder name cannot hold."""
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Parquet in one folder per key; Spark escapes what a folder name cannot hold.
+
+    Rows are brought together by key first, so that a folder gets few files; rebalancing
+    splits a key that is too large for one task.
+    """
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def cached_view(df: DataFrame, name: str) -> DataFrame:
