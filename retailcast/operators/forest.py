@@ -60,14 +60,22 @@ def _grow(points: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str,
     return {"feature": feature, "threshold": threshold, "left": left, "depth": depth}
 
 
-def _path_lengths(x: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray:
-    node = np.zeros(len(x), dtype=np.int64)
-    inner = tree["feature"][node] >= 0
-    while inner.any():
-        at = node[inner]
-        below = x[inner, tree["feature"][at]] <= tree["threshold"][at]
-        node[inner] = tree["left"][at] + np.where(below, 0, 1)
-        inner = tree["feature"][node] >= 0
+def _for_scoring(node_lists) -> dict[str, np.ndarray]:
+    """Arrays in which a leaf leads to itself, so that every row takes the same number of steps."""
+    feature, threshold = np.array(node_lists["feature"]), np.array(node_lists["threshold"])
+    left, leaf = np.array(node_lists["left"]), np.array(node_lists["feature"]) < 0
+    return {
+        "feature": np.where(leaf, 0, feature),
+        "threshold": np.where(leaf, np.inf, threshold),
+        "left": np.where(leaf, np.arange(len(leaf)), left),
+        "depth": np.array(node_lists["depth"]),
+    }
+
+
+def _path_lengths(x: np.ndarray, tree: dict[str, np.ndarray], steps: int) -> np.ndarray:
+    node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    for _ in range(steps):
+        node = tree["left"][node] + (x[rows, tree["feature"][node]] > tree["threshold"][node])
     return tree["depth"][node]
 
 
@@ -120,28 +128,21 @@ class IsolationForest:
             return pd.DataFrame([{"tree": tree, "points": len(points), **_grow(points, limit, np.random.default_rng([seed, tree]))}])
 
         nodes = drawn.groupBy("tree").applyInPandas(grow, _NODES).orderBy("tree").collect()
-        self.trees = [
-            {
-                "feature": np.array(n["feature"]),
-                "threshold": np.array(n["threshold"]),
-                "left": np.array(n["left"]),
-                "depth": np.array(n["depth"]),
-            }
-            for n in nodes
-        ]
+        self.trees = [_for_scoring(n) for n in nodes]
         self.drawn = max((n["points"] for n in nodes), default=0)
         return self
 
     def score(self) -> Column:
         """Anomaly score in (0, 1]; higher is more isolated."""
         trees, scale = self.trees, max(float(mean_path(self.drawn)), 1e-12)
+        steps = math.ceil(math.log2(self.sample_size))
 
         @F.pandas_udf(DoubleType())
         def isolation(*columns: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             total = np.zeros(len(x))
             for tree in trees:
-                total += _path_lengths(x, tree)
+                total += _path_lengths(x, tree, steps)
             return pd.Series(np.exp2(-total / (len(trees) * scale)))
 
         return isolation(*self._inputs())

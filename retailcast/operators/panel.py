@@ -125,12 +125,14 @@ def min_group_size(df: DataFrame, keys: Sequence[str] = KEYS, min_rows: int = 10
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Place rows by key over all shuffle partitions.
+    """Place rows by key over at least twice the cluster's cores.
 
     Adaptive execution merges partitions by their bytes; groups of few bytes but much
     computing would all end in one task. A stated number of partitions is left alone.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, 2 * spark.sparkContext.defaultParallelism), *by)
 
 
 def last_rows(df: DataFrame, n: int, keys: Sequence[str] = KEYS, date: str = DATE) -> DataFrame:

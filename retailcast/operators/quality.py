@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from retailcast import DATE, TARGET
 
+# fixed values: texts of the warnings
+GAPS = "Found %d missing dates in time series"
+NULLS = "Found %d total missing values"
+NEGATIVES = "Found %d rows with negative sales"
+
 
 def calendar(df: DataFrame, date: str = DATE) -> DataFrame:
     """Every day between the first and the last date of the frame."""
@@ -70,9 +75,9 @@ def validate_sales_data(
     n_gaps, negative, total = F.size("_gaps"), F.col("negative_sales_count"), F.col("_total")
     warnings = F.array_compact(
         F.array(
-            F.when(n_gaps > 0, F.format_string("Found %d missing dates in time series", n_gaps)),
-            F.when(total > 0, F.format_string("Found %d total missing values", total)),
-            F.when(negative > 0, F.format_string("Found %d rows with negative sales", negative)),
+            F.when(n_gaps > 0, F.format_string(GAPS, n_gaps)),
+            F.when(total > 0, F.format_string(NULLS, total)),
+            F.when(negative > 0, F.format_string(NEGATIVES, negative)),
         )
     )
     pairs = [p for c, n in nulls.items() for p in (F.lit(c), F.col(n))]

@@ -427,7 +427,7 @@ def supervised_windows(spark, sf):
 
 @register("m10_m11_sequence_forecast", "store_nbr i, family s, date d, yhat f4")
 def sequence_forecast(spark, sf):
-    dense = b.dense_sales(spark, sf)
+    dense = b.dense_sales(spark, sf).persist()
     return sequence.fit_sequence(dense, cfg=sequence.SequenceConfig(horizon=7)).predict(dense)
 
 
@@ -438,7 +438,7 @@ def loss_history(spark, sf):
 
 @register("m13_total_forecast", "date d, yhat f4")
 def total_forecast(spark, sf):
-    total = panel.daily_total(b.dense_sales(spark, sf))
+    total = panel.daily_total(b.dense_sales(spark, sf)).persist()
     return sequence.fit_sequence(total, keys=(), cfg=sequence.SequenceConfig(horizon=7)).predict(total)
 
 

@@ -92,7 +92,7 @@ FOREST_FEATURES = ("sales", "onpromotion")
 
 @register("n2_isolation_forest", "date d, store_nbr i, family s, sales f, onpromotion i, anomaly_if b")
 def isolation_forest(spark, sf):
-    df = b.sales(spark, sf)
+    df = b.sales(spark, sf).persist()  # read for the medians, the sample, the scores and the cut-off
     forest = anomaly.IsolationForest().fit(df, FOREST_FEATURES, ("date", "store_nbr", "family"))
     return forest.flag(df)
 
@@ -108,7 +108,7 @@ def detect_iqr_only(spark, sf):
 
 @register("n3_detect_both", "date d, store_nbr i, family s, anomaly_iqr b, anomaly_if b, is_anomaly b")
 def detect_both(spark, sf):
-    return anomaly.detect_anomalies(b.sales(spark, sf), multivariate_features=FOREST_FEATURES)
+    return anomaly.detect_anomalies(b.sales(spark, sf).persist(), multivariate_features=FOREST_FEATURES)
 
 
 _ROW_SPEC = "date d, store_nbr i, family s, sales f"
