@@ -1,4 +1,4 @@
-"""The batch jobs: train the forecasters, detect anomalies, backtest."""
+"""The batch jobs: prepare tables, train the forecasters, forecast, detect anomalies, backtest."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from retailcast import KEYS
 from retailcast.config import JobConfig
-from retailcast.models.additive import backtest_model, fit_additive
+from retailcast.models.additive import backtest_model, fit_additive, predict_additive
 from retailcast.models.boosted import BoostedConfig, fit_boosted
 from retailcast.models.sequence import SequenceConfig, fit_sequence
 from retailcast.operators.anomaly import anomaly_records, detect_anomalies, handle_anomalies
@@ -25,11 +25,15 @@ from retailcast.operators.backtest import (
     model_predictions,
     window_metrics,
 )
+from retailcast.operators.ensemble import ensemble_predict, equal_weights, optimize_weights
 from retailcast.operators.features import engineer_all_features
 from retailcast.operators.joins import merge_sources
 from retailcast.operators.panel import daily_panel, daily_total, filter_rows
+from retailcast.operators.quality import validate_sales_data
 from retailcast.operators.registry import ModelRegistry
+from retailcast.operators.seasonality import analyze
 from retailcast.session import scratch_path
+from retailcast.sources.catalog import TableStore
 from retailcast.sources.files import load_store_sales_data, write_csv
 
 MODEL_CHOICES = ("all", "additive", "boosted", "sequence")
@@ -42,6 +46,31 @@ def feature_table(tables: Mapping[str, DataFrame], stores: Sequence[int] | None
     return engineer_all_features(kept, tables.get("holidays"))
 
 
+@dataclass
+class PreparedTables:
+    validation: DataFrame
+    merged: DataFrame
+    features: DataFrame
+    seasonality: DataFrame
+
+
+def prepare(spark: SparkSession, cfg: JobConfig, store: TableStore) -> PreparedTables:
+    """Land the inputs in the raw layer, validate and merge them, and store the features.
+
+    Each layer is read back from its table, so that a later step does not repeat an earlier one.
+    """
+    for name, df in load_store_sales_data(spark, cfg.raw_path).items():
+        store.store(df, name, "raw")
+    raw = {n: store.table(n, "raw") for n in ("train", "stores", "oil", "holidays", "transactions") if store.exists(n, "raw")}
+    merged = merge_sources(raw["train"], raw.get("stores"), raw.get("oil"), raw.get("transactions"))
+    store.store(merged, "sales", "cleaned")
+    cleaned = store.table("sales", "cleaned")
+    store.store(engineer_all_features(cleaned, raw.get("holidays")), "sales", "features")
+    return PreparedTables(
+        validate_sales_data(raw["train"]), cleaned, store.table("sales", "features"), analyze(daily_panel(cleaned))
+    )
+
+
 def train(
     spark: SparkSession,
     cfg: JobConfig,
@@ -160,3 +189,49 @@ def backtest(
     run = backtest_panel(spark, daily_panel(sales), cfg, models)
     write_csv(flat_report(run.report), f"{cfg.report_path}/backtest_report.csv")
     return run
+
+
+@dataclass
+class EnsembleRun:
+    weights: DataFrame
+    predictions: DataFrame
+    metrics: DataFrame
+
+
+def ensemble_backtest(
+    run: BacktestRun, models: Sequence[str], keys: Sequence[str] = KEYS, validation_share: float = 0.5
+) -> EnsembleRun:
+    """Weights per series from the first windows of a backtest, scored on the later ones.
+
+    Windows up to ``validation_share`` of the last id choose the weights. Windows overlap, so
+    the first scored ones share test days with the last that chose.
+    """
+    cells = run.predictions.where(F.col("error").isNull() & F.col("model").isin(*models))
+    last = run.predictions.agg(F.max("window_id")).scalar()
+    first = F.col("window_id") <= F.floor(last * F.lit(validation_share))
+    weights = optimize_weights(cells.where(first), models, keys, by=keys)
+    combined = ensemble_predict(cells.where(~first), weights, keys, by=keys).withColumn("model", F.lit("ensemble"))
+    return EnsembleRun(weights, combined, window_metrics(combined))
+
+
+def forecast(
+    spark: SparkSession,
+    panel: DataFrame,
+    cfg: JobConfig,
+    holidays: DataFrame | None = None,
+    weights: Mapping[str, float] | None = None,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """The next days of every series: additive and sequence forecasts and their weighted mean.
+
+    The horizon is the first configured one; rows are (keys, date, yhat, lower, upper).
+    """
+    horizon, path = cfg.horizons[0], scratch_path(spark, "additive")
+    fit_additive(panel, keys, holidays=holidays).write.parquet(path)
+    additive = predict_additive(spark.read.parquet(path), horizon, keys, holidays=holidays)
+    parts = additive.select(*keys, F.col("ds").alias("date"), F.lit("additive").alias("model"), "yhat")
+    model = fit_sequence(panel, keys, cfg=SequenceConfig(lookback=cfg.lookback, horizon=horizon))
+    if model is not None:
+        sequence = model.predict(panel).select(*keys, "date", F.lit("sequence").alias("model"), "yhat")
+        parts = parts.unionByName(sequence)
+    return ensemble_predict(parts, weights or equal_weights(), keys)

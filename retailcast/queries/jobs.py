@@ -4,12 +4,15 @@ from pyspark.sql import functions as F
 
 from retailcast.config import BacktestConfig, JobConfig
 from retailcast.models.boosted import BoostedConfig
+from retailcast.plans import bindings as b
 from retailcast.plans import jobs
-from retailcast.queries.evaluation import last_week
+from retailcast.queries.evaluation import _PREDICTED, BASE_MODELS, last_week
 from retailcast.queries.quality import _flagged_sql
 from retailcast.queries.registry import register
 from retailcast.queries.storage import _landed
+from retailcast.queries.tables import SALES
 from retailcast.session import scratch_path
+from retailcast.sources.catalog import TableStore
 
 
 def _config(spark, sf, **more):
@@ -38,3 +41,49 @@ def detection_job(spark, sf):
 def backtest_job(spark, sf):
     cfg = _config(spark, sf, backtest=BacktestConfig(step_days=28))
     return jobs.backtest(spark, cfg, {"last_week": last_week}).aggregates
+
+
+@register(
+    "s9_prepare_job",
+    "is_valid b, n_raw i, n_merged i, n_features i, n_series i, known_lags i",
+    f"""WITH {SALES}, l AS (SELECT LAG(sales, 365) OVER (PARTITION BY store_nbr, family ORDER BY date) AS lagged FROM sales),
+    n AS (SELECT COUNT(*) AS n, COUNT(DISTINCT (store_nbr, family)) AS s,
+      COUNT(DISTINCT date) = MAX(date) - MIN(date) + 1 AS ok FROM sales)
+    SELECT ok AS is_valid, n AS n_raw, n AS n_merged, n AS n_features, s AS n_series,
+      (SELECT COUNT(lagged) FROM l) AS known_lags FROM n""",
+)
+def prepare_job(spark, sf):
+    store = TableStore(spark, scratch_path(spark, "layers"))
+    done = jobs.prepare(spark, _config(spark, sf), store)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).scalar()
+    return done.validation.select(
+        "is_valid",
+        count(store.table("train"), "n").alias("n_raw"),
+        count(done.merged, "n").alias("n_merged"),
+        count(done.features, "n").alias("n_features"),
+        count(done.seasonality, "n").alias("n_series"),
+        done.features.agg(F.count("sales_lag_365")).scalar().alias("known_lags"),
+    )
+
+
+@register(
+    "m15_ensemble_job",
+    "window_id i, rmse f, mae f, n_scored i",
+    f"""WITH {_PREDICTED}, last AS (SELECT FLOOR(MAX(window_id) * 0.5) AS cut FROM paired),
+    g AS (SELECT store_nbr, family, SUM((naive - mean) * (y - mean)) AS a, SUM((naive - mean) * (naive - mean)) AS c
+      FROM paired, last WHERE window_id <= cut GROUP BY 1, 2),
+    e AS (SELECT window_id, y, LEAST(GREATEST(a / c, 0), 1) * naive + (1 - LEAST(GREATEST(a / c, 0), 1)) * mean AS yhat
+      FROM paired p JOIN g ON p.store_nbr = g.store_nbr AND p.family = g.family, last WHERE window_id > cut)
+    SELECT window_id, SQRT(AVG((y - yhat) * (y - yhat))) AS rmse, AVG(ABS(y - yhat)) AS mae, COUNT(*) AS n_scored
+    FROM e GROUP BY 1""",
+)
+def ensemble_job(spark, sf):
+    cfg = JobConfig()
+    run = jobs.backtest_panel(spark, b.dense_sales(spark, sf), cfg, models={})
+    return jobs.ensemble_backtest(run, BASE_MODELS).metrics
+
+
+@register("m15_forecast_job", "store_nbr i, family s, date d, yhat f4, lower f4, upper f4")
+def forecast_job(spark, sf):
+    dense = b.dense_sales(spark, sf).persist()
+    return jobs.forecast(spark, dense, JobConfig(), holidays=b.holidays(spark, sf))

@@ -25,6 +25,9 @@ class TableStore:
         """Create the table, or replace it with the frame."""
         df.write.mode("overwrite").saveAsTable(self._name(table, layer))
 
+    def table(self, table: str, layer: str = "raw") -> DataFrame:
+        return self.spark.table(self._name(table, layer))
+
     def query(self, sql: str) -> DataFrame:
         return self.spark.sql(sql)
 

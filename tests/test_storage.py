@@ -106,3 +106,28 @@ def test_backtest_job(spark, job_config):
     assert {r["model"] for r in run.aggregates.collect()} == {"naive", "mean_28d", "additive"}
     assert run.pair_tests.count() == 3
     assert files.load_backtest_report(spark, f"{job_config.report_path}/backtest_report.csv").count() == run.report.count()
+
+
+def test_prepare_job_fills_the_layers(spark, job_config, tmp_path):
+    store = TableStore(spark, str(tmp_path / "layers"))
+    store.spark.sql("DROP TABLE IF EXISTS raw.stores")
+    done = jobs.prepare(spark, job_config, store)
+    assert done.validation.first()["is_valid"]
+    assert done.features.count() == done.merged.count() == 300
+    assert {"is_holiday_holiday", "sales_lag_28"} <= set(done.features.columns)
+    assert done.seasonality.count() == 2
+
+
+def test_ensemble_of_a_backtest(spark, job_config):
+    run = jobs.backtest(spark, job_config)
+    ens = jobs.ensemble_backtest(run, ("additive", "naive", "mean_28d"))
+    assert all(sum(r["weights"].values()) == pytest.approx(1) for r in ens.weights.collect())
+    early = {r["window_id"] for r in ens.metrics.collect()}
+    assert early and min(early) > 0
+
+
+def test_forecast_job(spark, job_config):
+    sales = files.load_sales_data(spark, None, job_config.raw_path)
+    out = jobs.forecast(spark, sales, job_config)
+    assert out.groupBy("store_nbr").count().collect()[0]["count"] == 7
+    assert out.where("not (lower <= yhat and yhat <= upper)").count() == 0
