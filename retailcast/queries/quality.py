@@ -264,28 +264,32 @@ def spectrum(spark, sf):
     return seasonality.spectrum(b.dense_sales(spark, sf))
 
 
+_PEAKS = f"""{_SPECTRUM}, p AS (SELECT *, LAG(magnitude) OVER w AS a, LEAD(magnitude) OVER w AS z,
+    AVG(magnitude) OVER ({_KEY}) AS mean, MAX(magnitude) OVER ({_KEY}) AS top FROM spec
+    WINDOW w AS ({_KEY} ORDER BY k)),
+  peaks AS (SELECT store_nbr, family, k, CAST(TRUNC(1 / frequency) AS INT) AS period, magnitude / top AS strength FROM p
+    WHERE a < magnitude AND z < magnitude AND magnitude >= mean
+    QUALIFY ROW_NUMBER() OVER ({_KEY} ORDER BY k) <= 5)"""
+
+
 @register(
     "y2_spectral_peaks",
     "store_nbr i, family s, k i, period i, strength f4",
-    f"""WITH {_SPECTRUM}, p AS (SELECT *, LAG(magnitude) OVER w AS a, LEAD(magnitude) OVER w AS z,
-      AVG(magnitude) OVER ({_KEY}) AS mean, MAX(magnitude) OVER ({_KEY}) AS top FROM spec
-      WINDOW w AS ({_KEY} ORDER BY k))
-    SELECT store_nbr, family, k, CAST(TRUNC(1 / frequency) AS INT) AS period, magnitude / top AS strength FROM p
-    WHERE a < magnitude AND z < magnitude AND magnitude >= mean
-    QUALIFY ROW_NUMBER() OVER ({_KEY} ORDER BY k) <= 5""",
+    f"WITH {_PEAKS} SELECT * FROM peaks",
 )
 def spectral_peaks(spark, sf):
     return seasonality.spectral_peaks(seasonality.spectrum(b.dense_sales(spark, sf)))
 
 
-_ACF = f"""{DENSE}, t AS (SELECT store_nbr, family, sales - AVG(sales) OVER ({_KEY}) AS x,
+_LAGGED = f"""centred AS (SELECT store_nbr, family, sales - AVG(sales) OVER ({_KEY}) AS x,
     ROW_NUMBER() OVER {P} AS t, COUNT(*) OVER ({_KEY}) AS n FROM dense),
   l AS (SELECT UNNEST(generate_series(0, 400)) AS lag),
-  acf AS (SELECT a.store_nbr, a.family, lag, SUM(a.x * z.x) / ANY_VALUE(v.v) AS acf FROM t a CROSS JOIN l
-    JOIN t z ON a.store_nbr = z.store_nbr AND a.family = z.family AND z.t = a.t + lag
-    JOIN (SELECT store_nbr, family, SUM(x * x) AS v FROM t GROUP BY 1, 2) v
+  acf AS (SELECT a.store_nbr, a.family, lag, SUM(a.x * z.x) / ANY_VALUE(v.v) AS acf FROM centred a CROSS JOIN l
+    JOIN centred z ON a.store_nbr = z.store_nbr AND a.family = z.family AND z.t = a.t + lag
+    JOIN (SELECT store_nbr, family, SUM(x * x) AS v FROM centred GROUP BY 1, 2) v
       ON a.store_nbr = v.store_nbr AND a.family = v.family
     WHERE lag <= a.n // 2 - 1 GROUP BY 1, 2, 3)"""
+_ACF = f"{DENSE}, {_LAGGED}"
 
 
 @register("y3_acf", "store_nbr i, family s, lag i, acf f", f"WITH {_ACF} SELECT * FROM acf")
@@ -309,7 +313,18 @@ def strengths(spark, sf):
     return seasonality.analyze(b.dense_sales(spark, sf))
 
 
-@register("y5_analyze", "store_nbr i, family s, periods s, weekly_strength f, n_acf i, n_pacf i")
+@register(
+    "y5_analyze",
+    "store_nbr i, family s, periods s, weekly_strength f, n_acf i, n_pacf i",
+    f"""WITH {_PEAKS}, {_LAGGED},
+    ranked AS (SELECT store_nbr, family, STRING_AGG(CAST(period AS VARCHAR), ',' ORDER BY strength DESC, k) AS periods
+      FROM peaks GROUP BY 1, 2),
+    listed AS (SELECT store_nbr, family, COALESCE(MAX(acf) FILTER (lag = 7), 0) AS weekly_strength, COUNT(*) AS n_acf
+      FROM acf GROUP BY 1, 2)
+    SELECT a.store_nbr, a.family, COALESCE(periods, '') AS periods, weekly_strength, n_acf, LEAST(50, s.n // 4) + 1 AS n_pacf
+    FROM listed a JOIN s ON a.store_nbr = s.store_nbr AND a.family = s.family
+    LEFT JOIN ranked r ON a.store_nbr = r.store_nbr AND a.family = r.family""",
+)
 def analyze(spark, sf):
     return seasonality.analyze(b.dense_sales(spark, sf)).withColumns(
         {
