@@ -46,14 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with the names of the sales table; not yet aggregated."""
-    lines = table(spark, sf_dir, "lineitem")
-    regions = table(spark, sf_dir, "supplier").join(
-        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    )
+    """One row per order line with the names of the sales table; not yet aggregated.
+
+    The joins are left-deep: the size of each lookup is then known from its file, while
+    the size of a join of lookups is a guess that can turn the broadcast around.
+    """
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     return (
-        lines.join(regions.select("s_suppkey", "n_regionkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        table(spark, sf_dir, "lineitem")
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("l_shipdate").cast("date").alias("date"),
@@ -99,12 +103,12 @@ def oil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").join(
-        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
-    )
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     return (
         table(spark, sf_dir, "orders")
-        .join(customers.select("c_custkey", "n_regionkey"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy(F.col("o_orderdate").cast("date").alias("date"), F.col("n_regionkey").alias("store_nbr"))
         .agg(F.count(F.lit(1)).alias("transactions"))
     )

@@ -153,11 +153,33 @@ def model_pairs_by_series(spark, sf):
     )
 
 
-@register("b7_p_values", "model_a s, model_b s, n i, statistic f, p_value f")
+# fixed values: complementary error function by Abramowitz and Stegun 7.1.26, error below 2e-7
+_ERFC = """t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * EXP(-x * x)"""
+
+
+@register(
+    "b7_p_values",
+    "model_a s, model_b s, n i, statistic f, p_value f4",
+    f"""WITH {_DM}, s AS (SELECT model_a, model_b, COUNT(*) AS n, AVG(d) / SQRT(VAR_SAMP(d) / COUNT(*)) AS statistic
+      FROM e GROUP BY 1, 2),
+    x AS (SELECT *, ABS(statistic) / SQRT(2) AS x, 1 / (1 + 0.3275911 * ABS(statistic) / SQRT(2)) AS t FROM s)
+    SELECT *, {_ERFC} AS p_value FROM x""",
+)
 def p_values(spark, sf):
     return backtest.diebold_mariano(baselines(spark, sf))
 
 
+@register(
+    "b7_p_values_by_series",
+    "store_nbr i, family s, statistic f, p_value f4",
+    f"""WITH {_DM}, s AS (SELECT store_nbr, family, AVG(d) / SQRT(VAR_SAMP(d) / COUNT(*)) AS statistic FROM e GROUP BY 1, 2),
+    x AS (SELECT *, ABS(statistic) / SQRT(2) AS x, 1 / (1 + 0.3275911 * ABS(statistic) / SQRT(2)) AS t FROM s)
+    SELECT *, {_ERFC} AS p_value FROM x""",
+)
+def p_values_by_series(spark, sf):
+    return backtest.diebold_mariano(baselines(spark, sf), models=("naive", "mean_28d"), by=("store_nbr", "family"))
+
+
 @register(
     "a18_loss_differences",
     "store_nbr i, family s, n i, mean f4, variance f2",

@@ -37,7 +37,33 @@ def detection_job(spark, sf):
     return records.groupBy("store_nbr", "family").agg(F.count(F.lit(1)).alias("n"), F.sum("original_value").alias("total"))
 
 
-@register("b2_backtest_job", "model s, mape_mean f, rmse_mean f, mae_mean f, smape_mean f")
+@register(
+    "b2_backtest_job",
+    "model s, mape_mean f, rmse_mean f, mae_mean f, smape_mean f",
+    f"""WITH {SALES}, st AS (SELECT store_nbr, family, date, sales, ROW_NUMBER() OVER k AS n,
+      AVG(sales) OVER (PARTITION BY store_nbr, family ORDER BY date ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS mean
+      FROM sales WINDOW k AS (PARTITION BY store_nbr, family ORDER BY date)),
+    r AS (SELECT store_nbr, family, MAX(date) AS hi, CAST(MIN(date) + INTERVAL 12 MONTH AS DATE) AS first FROM sales GROUP BY 1, 2),
+    w AS (SELECT store_nbr, family, i AS window_id, CAST(first + CAST(28 * i AS INT) AS DATE) AS train_end
+      FROM r, generate_series(0, 1000) AS g(i) WHERE first + CAST(28 * i + 28 AS INT) <= hi),
+    tr AS (SELECT w.*, s.n, s.sales AS naive, s.mean FROM w ASOF JOIN st s
+      ON w.store_nbr = s.store_nbr AND w.family = s.family AND w.train_end >= s.date),
+    lw AS (SELECT tr.store_nbr, tr.family, window_id, isodow(z.date) AS wd, ARG_MAX(z.sales, z.n) AS yhat FROM tr JOIN st z
+      ON tr.store_nbr = z.store_nbr AND tr.family = z.family AND z.n BETWEEN tr.n - 6 AND tr.n GROUP BY 1, 2, 3, 4),
+    tested AS (SELECT d.store_nbr, d.family, window_id, d.date, d.sales AS y, naive, mean FROM tr JOIN sales d
+      ON tr.store_nbr = d.store_nbr AND tr.family = d.family AND d.date BETWEEN train_end + 1 AND train_end + 28
+      WHERE n >= 365),
+    predicted AS (SELECT store_nbr, family, window_id, 'naive' AS model, y, naive AS yhat FROM tested
+      UNION ALL SELECT store_nbr, family, window_id, 'mean_28d', y, mean FROM tested
+      UNION ALL SELECT t.store_nbr, t.family, t.window_id, 'last_week', y, yhat FROM tested t LEFT JOIN lw
+        ON t.store_nbr = lw.store_nbr AND t.family = lw.family AND t.window_id = lw.window_id AND isodow(t.date) = wd),
+    m AS (SELECT store_nbr, family, window_id, model,
+      COALESCE(AVG(CASE WHEN y <> 0 THEN ABS((y - yhat) / y) END) * 100, 0) AS mape, SQRT(AVG((y - yhat) * (y - yhat))) AS rmse,
+      AVG(ABS(y - yhat)) AS mae, COALESCE(AVG(CASE WHEN ABS(y) + ABS(yhat) <> 0
+        THEN ABS(y - yhat) / ((ABS(y) + ABS(yhat)) / 2) END) * 100, 0) AS smape FROM predicted GROUP BY 1, 2, 3, 4)
+    SELECT model, AVG(mape) AS mape_mean, AVG(rmse) AS rmse_mean, AVG(mae) AS mae_mean, AVG(smape) AS smape_mean
+    FROM m GROUP BY 1""",
+)
 def backtest_job(spark, sf):
     cfg = _config(spark, sf, backtest=BacktestConfig(step_days=28))
     return jobs.backtest(spark, cfg, {"last_week": last_week}).aggregates
