@@ -42,7 +42,7 @@ def test_metrics(spark, y, yhat, name, value):
     assert scores(spark, y, yhat)[name] == pytest.approx(value)
 
 
-def reference_windows(lo, hi, cfg):
+def stepped_windows(lo, hi, cfg):
     out, end, k = [], (pd.Timestamp(lo) + pd.DateOffset(months=cfg.train_window_months)).date(), 0
     while end + dt.timedelta(cfg.test_window_days) <= hi:
         out.append((k, lo, end, end + dt.timedelta(1), end + dt.timedelta(cfg.test_window_days)))
@@ -54,7 +54,7 @@ def reference_windows(lo, hi, cfg):
 def test_windows_follow_the_dates(spark, days):
     cfg = BacktestConfig()
     got = backtest.backtest_windows(series(spark, [1] * days, start=START), cfg=cfg).orderBy("window_id").collect()
-    assert [tuple(r) for r in got] == reference_windows(START, day(days - 1, START), cfg)
+    assert [tuple(r) for r in got] == stepped_windows(START, day(days - 1, START), cfg)
 
 
 def test_rolling_windows_move_their_start(spark):
@@ -77,7 +77,7 @@ def by_window(values, skip, cfg, model):
         [(pd.Timestamp(day(i, START)), float(v)) for i, v in enumerate(values) if i not in skip], columns=["date", "sales"]
     )
     out = {}
-    for k, lo, end, first, last in reference_windows(frame["date"].min().date(), frame["date"].max().date(), cfg):
+    for k, lo, end, first, last in stepped_windows(frame["date"].min().date(), frame["date"].max().date(), cfg):
         train = frame[(frame["date"] >= pd.Timestamp(lo)) & (frame["date"] <= pd.Timestamp(end))]
         test = frame[(frame["date"] >= pd.Timestamp(first)) & (frame["date"] <= pd.Timestamp(last))]
         if len(train) < cfg.min_train_samples or test.empty:
@@ -141,7 +141,7 @@ def test_a_failing_model_leaves_the_others(spark):
 def test_tested_rows_overlap_by_step(spark):
     rows = backtest.tested_rows(series(spark, [1] * 120, start=START), cfg=CFG).collect()
     assert all(r["test_start"] <= r["date"] <= r["test_end"] for r in rows)
-    n_windows = len(reference_windows(START, day(119, START), CFG))
+    n_windows = len(stepped_windows(START, day(119, START), CFG))
     assert len(rows) == 5 * n_windows
 
 

@@ -91,7 +91,7 @@ def test_train_job(spark, job_config, tmp_path):
     registry = jobs.train(spark, job_config, str(tmp_path), boost=boost)
     assert {r["type"] for r in registry.latest().collect()} == {"additive", "boosted", "sequence"}
     with pytest.raises(ValueError):
-        jobs.train(spark, job_config, str(tmp_path), models="prophecy")
+        jobs.train(spark, job_config, str(tmp_path), models="other")
 
 
 def test_detect_job(spark, job_config):
