@@ -100,7 +100,7 @@ def repeated_chunks(docs: DataFrame, span: int = 2) -> DataFrame:
             )
         ),
     ).where("hash is not null")
-    again = stored(occurrences.join(twice, "hash", "left_semi"), "chunks")
+    again = stored(occurrences.join(twice.hint("merge"), "hash", "left_semi"), "chunks")  # grows, never broadcast
     place = F.struct(F.col("key_id").isNull().alias("last"), "key_id", "key_text", "chunk")
     first = again.groupBy("hash", "body").agg(F.min(place).alias("first"), F.max(place).alias("final"))
     first = stored(first.where("first <> final"), "first-chunks")
@@ -122,7 +122,7 @@ def remove_repeated(docs: DataFrame, span: int = 2) -> DataFrame:
         "text",
     )
     same = F.col("key_id").eqNullSafe(F.col("drop_id")) & (F.col("key_text") == F.col("drop_text"))
-    joined = rows.join(drop, same, "left")
+    joined = rows.join(drop.hint("merge"), same, "left")  # grows with the corpus, never broadcast
 
     def left_over(lines: Column) -> Column:
         keep = F.array_except(chunks_of(lines, span), F.col("removed"))
