@@ -197,8 +197,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """One row of each group, all columns as they were: the smallest id, nulls last, then the smallest text.
 
-    Of rows that are equal in id and text one stays. Only ids and fingerprints are compared; texts are
-    not moved unless the table of the rows to keep is too large to send to every task.
+    Of rows that are equal in id and text one stays. Only ids and fingerprints are compared; texts move
+    once, to meet the keys of the rows to keep.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(
@@ -222,5 +222,7 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
         .select(F.col("best.key_id").alias("keep_id"), F.col("best.key_text").alias("keep_text"))
     )
     same = F.col("key_id").eqNullSafe(F.col("keep_id")) & (F.col("key_text") == F.col("keep_text"))
-    left = keyed.join(stored(chosen, "chosen"), same, "left_semi")
-    return left.dropDuplicates(["key_id", "key_text"]).select("row.*")
+    left = keyed.join(stored(chosen, "chosen").hint("merge"), same, "left_semi")
+    if not rows.groupBy("key_id", "key_text").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["key_id", "key_text"])  # only repeated rows need this exchange
+    return left.select("row.*")
