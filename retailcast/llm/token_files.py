@@ -15,8 +15,10 @@ columns are not written.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,33 +29,70 @@ from tokenizers import Tokenizer
 from retailcast.session import scratch_path
 
 KNOWN = 300_000  # words a task remembers
+RUN = 2_000  # words of letters encoded together
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 
 
 class WordEncoder:
-    """Encodes texts through a memory of words."""
+    """Encodes texts through a memory of words.
+
+    A word of letters, perhaps with stops or commas after it, is taken apart: letters and signs are never
+    joined by the tokenizer. Words of letters are encoded many at a time; the ids of one end with the
+    first id that closes a word.
+    """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, list[int]] = {}
+        self.letters: dict[str, list[int]] = {}
+
+    def one_by_one(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def letter_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), RUN):
+            run = words[at : at + RUN]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, np.int64)
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) == len(run) and ends[-1] == len(ids):
+                plain, begin = ids.tolist(), 0
+                for w, end in zip(run, ends, strict=True):
+                    self.letters[w] = plain[begin:end]
+                    begin = end
+            else:
+                self.letters.update(zip(run, self.one_by_one(run), strict=True))
+
+    def learn(self, new: list[str]) -> None:
+        parts, odd = [], []
+        for w in new:
+            core = w.rstrip(".,")
+            if core.isascii():
+                letters, lowered = core.isalpha(), core.lower()
+            else:
+                letters, lowered = unicodedata.normalize("NFC", core).lower().isalpha(), core
+            if letters:
+                parts.append((w, lowered, w[len(core) :]))
+            else:
+                odd.append(w)
+        self.letter_words(list({core for _, core, _ in parts if core not in self.letters}))
+        odd += list({tail for _, _, tail in parts if tail and tail not in self.known})
+        self.known.update(zip(odd, self.one_by_one(odd), strict=True))
+        for w, core, tail in parts:
+            self.known[w] = self.letters[core] + self.known[tail] if tail else self.letters[core]
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         runs = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         new = list({w for run in runs for w in run if w not in self.known})
         if len(self.known) + len(new) > KNOWN:
-            self.known = {}
+            self.known, self.letters = {}, {}
             new = list({w for run in runs for w in run})
-        for w, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = got.ids
-        out = []
-        for run in runs:
-            ids: list[int] = []
-            for w in run:
-                ids += self.known[w]
-            ids.append(end_id)
-            out.append(np.array(ids, np.int32))
-        return out
+        self.learn(new)
+        get = self.known.__getitem__
+        return [np.array([*chain.from_iterable(map(get, run)), end_id], np.int32) for run in runs]
 
 
 def ids_of(text: Column, definition: str, end_id: int = 1) -> Column:
