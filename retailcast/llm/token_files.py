@@ -15,6 +15,7 @@ columns are not written.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,7 @@ class WordEncoder:
     """
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
         self.tokenizer = Tokenizer.from_str(definition)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
