@@ -13,10 +13,19 @@ from pyspark.sql.types import DoubleType
 METRICS = ("mape", "rmse", "mae", "smape")
 
 
+def _scored(y: str, yhat: str) -> Column:
+    return F.col(y).isNotNull() & F.col(yhat).isNotNull()
+
+
+def _or_zero(mean: Column, y: str, yhat: str) -> Column:
+    """0 when every scored row has a zero denominator; null when no row was scored."""
+    return F.when(F.count_if(_scored(y, yhat)) > 0, F.coalesce(mean * 100, F.lit(0.0)))
+
+
 def mape(y: str, yhat: str) -> Column:
-    """Mean absolute percentage error over rows with y != 0; 0 when there are none."""
+    """Mean absolute percentage error over rows with y != 0; 0 when all scored rows have y = 0."""
     share = F.when(F.col(y) != 0, F.abs(F.try_divide(F.col(y) - F.col(yhat), F.col(y))))
-    return F.coalesce(F.avg(share) * 100, F.lit(0.0))
+    return _or_zero(F.avg(share), y, yhat)
 
 
 def rmse(y: str, yhat: str) -> Column:
@@ -28,15 +37,15 @@ def mae(y: str, yhat: str) -> Column:
 
 
 def smape(y: str, yhat: str) -> Column:
-    """Symmetric percentage error over rows whose mean magnitude is not 0; 0 when there are none."""
+    """Symmetric percentage error over rows whose mean magnitude is not 0; 0 when no scored row has one."""
     size = (F.abs(F.col(y)) + F.abs(F.col(yhat))) / 2
     share = F.when(size != 0, F.try_divide(F.abs(F.col(y) - F.col(yhat)), size))
-    return F.coalesce(F.avg(share) * 100, F.lit(0.0))
+    return _or_zero(F.avg(share), y, yhat)
 
 
 def all_metrics(y: str = "y", yhat: str = "yhat") -> list[Column]:
     """The four measures, the number of scored rows and of rows skipped for a null."""
-    scored = F.col(y).isNotNull() & F.col(yhat).isNotNull()
+    scored = _scored(y, yhat)
     return [
         mape(y, yhat).alias("mape"),
         rmse(y, yhat).alias("rmse"),

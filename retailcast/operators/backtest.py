@@ -260,10 +260,11 @@ def backtest_report(metrics: DataFrame, windows: DataFrame, keys: Sequence[str]
     )
 
 
-def flat_report(report: DataFrame) -> DataFrame:
-    """Window id, formatted test start, model and errors."""
+def flat_report(report: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """Series keys, window id, formatted test start, model and errors; the keys are those in the report."""
+    keys = [k for k in KEYS if k in report.columns] if keys is None else keys
     return report.withColumn("test_start", F.date_format("test_start", "yyyy-MM-dd")).select(
-        "window_id", "test_start", "model", *METRICS
+        *keys, "window_id", "test_start", "model", *METRICS
     )
 
 

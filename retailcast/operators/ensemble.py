@@ -36,10 +36,12 @@ def _weight(weights: Mapping[str, float] | DataFrame, rows: DataFrame, by: Seque
 
 
 def _mean(column: str) -> Column:
-    """Weighted mean normalised by the weight present; 0 without weight."""
-    known = F.col("_w").isNotNull()
-    total = F.sum(F.when(known, F.col("_w") * F.col(column)))
-    return F.coalesce(F.try_divide(total, F.sum(F.when(known, F.col("_w")))), F.lit(0.0))
+    """Weighted mean normalised by the weight of the values present; 0 without weight, null if models with a
+    weight have no value."""
+    known = F.col("_w").isNotNull() & F.col(column).isNotNull()
+    total, weight = F.sum(F.when(known, F.col("_w") * F.col(column))), F.sum(F.when(known, F.col("_w")))
+    empty = weight.isNull() & (F.count("_w") > 0)
+    return F.coalesce(F.try_divide(total, weight), F.when(~empty, F.lit(0.0)))
 
 
 def ensemble_predict(

@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType
 
 from retailcast.operators.quantiles import global_quantiles
 
-POOL_SAMPLES = 32  # the pool holds this many samples; a tree draws one of them
+HITS = 4  # rows expected to be hit per tree, as a multiple of the sample; the sample is the first of them
 EULER_GAMMA = 0.5772156649015329
 
 _NODES = "tree int, points int, feature array<int>, threshold array<double>, left array<int>, depth array<double>"
@@ -105,15 +105,15 @@ class IsolationForest:
         row = df.sparkSession.range(1).select(*[F.get(m, F.lit(0)).alias(f"m{i}") for i, m in enumerate(medians)]).first()
         self.medians = [0.0 if v is None else float(v) for v in row]
 
-        pool = (
-            df.select(
-                F.xxhash64(*row_key, F.lit(self.seed)).alias("_h"), F.array(*self._inputs()).alias("x")
-            )
-            .orderBy("_h", "x")
-            .limit(POOL_SAMPLES * self.sample_size)
+        # every tree draws from all rows: a row goes to the trees for which its hash is small
+        pool = df.select(F.xxhash64(*row_key, F.lit(self.seed)).alias("_h"), F.array(*self._inputs()).alias("x"))
+        space = 1 << 40
+        bound = math.ceil(space * min(1.0, HITS * self.sample_size / max(df.count(), 1)))
+        numbers = F.sequence(F.lit(0), F.lit(self.n_trees - 1))
+        trees = F.explode(
+            F.filter(numbers, lambda t: F.pmod(F.xxhash64("_h", t, F.lit(self.seed)), F.lit(space)) < bound)
         )
-        trees = F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1)))
-        order = Window.partitionBy("tree").orderBy(F.xxhash64("_h", "tree", F.lit(self.seed)), "x")
+        order = Window.partitionBy("tree").orderBy(F.pmod(F.xxhash64("_h", "tree", F.lit(self.seed)), F.lit(space)), "x")
         drawn = (
             pool.withColumn("tree", trees)
             .withColumn("_place", F.row_number().over(order))

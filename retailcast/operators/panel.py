@@ -9,6 +9,7 @@ so no task ever receives an unbounded group, however skewed the raw rows are.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -37,14 +38,15 @@ def daily_total(df: DataFrame, date: str = DATE, target: str = TARGET) -> DataFr
 
 
 def require_daily_grain(df: DataFrame, keys: Sequence[str] = KEYS, date: str = DATE) -> DataFrame:
-    """Fail at run time when a series has two rows for a day.
+    """Fail at run time when a series has two rows for a day. Rows with a null key belong to no series and pass.
 
     The check shares the exchange and sort of the series window that follows it.
     """
     same_day = F.lag(date).over(series_window(keys, date)).eqNullSafe(F.col(date))
     first = F.row_number().over(series_window(keys, date)) == 1
     message = F.concat(F.lit("more than one row of a series on "), F.col(date).cast("string"))
-    ok = F.when(same_day & ~first, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    ok = F.when(same_day & ~first & named, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
     return df.withColumn("_unique", ok).where("_unique").drop("_unique")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retailcast import KEYS
@@ -203,15 +203,17 @@ def ensemble_backtest(
 ) -> EnsembleRun:
     """Weights per series from the first windows of a backtest, scored on the later ones.
 
-    Windows up to ``validation_share`` of the last id choose the weights. Windows overlap, so
+    Windows up to ``validation_share`` of a series' own last id choose its weights. Windows overlap, so
     the first scored ones share test days with the last that chose.
     """
     cells = run.predictions.where(F.col("error").isNull() & F.col("model").isin(*models))
-    last = run.predictions.agg(F.max("window_id")).scalar()
-    first = F.col("window_id") <= F.floor(last * F.lit(validation_share))
-    weights = optimize_weights(cells.where(first), models, keys, by=keys)
-    combined = ensemble_predict(cells.where(~first), weights, keys, by=keys).withColumn("model", F.lit("ensemble"))
-    return EnsembleRun(weights, combined, window_metrics(combined))
+    # window ids count from each series' own start; a series holds a bounded number of predictions
+    last = F.max("window_id").over(Window.partitionBy(*keys))
+    cells = cells.withColumn("_first", F.col("window_id") <= F.floor(last * F.lit(validation_share)))
+    weights = optimize_weights(cells.where("_first").drop("_first"), models, keys, by=keys)
+    later = cells.where(~F.col("_first")).drop("_first")
+    combined = ensemble_predict(later, weights, keys, by=keys).withColumn("model", F.lit("ensemble"))
+    return EnsembleRun(weights, combined, window_metrics(combined, keys))
 
 
 def forecast(

@@ -41,12 +41,12 @@ def naive_band(
     )
 
 
-def model_comparison(report: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Mean of each error per model, with a flag at the smallest of each column."""
+def model_comparison(report: DataFrame, metrics: Sequence[str] = METRICS, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean of each error per model (and series with ``keys``), with a flag at the smallest of each column."""
     present = [m for m in metrics if m in report.columns]
-    means = report.groupBy("model").agg(*[F.avg(m).alias(m) for m in present])
+    means = report.groupBy(*keys, "model").agg(*[F.avg(m).alias(m) for m in present])
     # one row per model
-    whole = Window.partitionBy()
+    whole = Window.partitionBy(*keys)
     return means.withColumns({f"best_{m}": F.col(m) == F.min(m).over(whole) for m in present})
 
 
@@ -93,27 +93,35 @@ def error_box(report: DataFrame, metric: str = "rmse", models: Sequence[str] | N
     return reduce(DataFrame.unionByName, boxes)
 
 
-def metric_over_windows(report: DataFrame, metric: str = "mape") -> DataFrame:
-    """The error of each model along the test periods."""
-    return report.select("model", "test_start", metric).orderBy("model", "test_start")
+def report_keys(report: DataFrame, keys: Sequence[str] | None) -> list[str]:
+    """The series keys given, or those that the report has."""
+    return [k for k in KEYS if k in report.columns] if keys is None else list(keys)
 
 
-def windows_won(report: DataFrame, metric: str = "mape") -> DataFrame:
-    """Number of windows in which each model has the smallest error; ties go by model name."""
-    best = report.where(F.col(metric).isNotNull()).groupBy("window_id").agg(
+def metric_over_windows(report: DataFrame, metric: str = "mape", keys: Sequence[str] | None = None) -> DataFrame:
+    """The error of each model along the test periods of each series."""
+    keys = report_keys(report, keys)
+    return report.select(*keys, "model", "test_start", metric).orderBy(*keys, "model", "test_start")
+
+
+def windows_won(report: DataFrame, metric: str = "mape", keys: Sequence[str] | None = None) -> DataFrame:
+    """Number of windows (of each series) in which each model has the smallest error; ties go by model
+    name, and a model without a score wins nothing."""
+    keys = report_keys(report, keys)
+    best = report.where(F.col(metric).isNotNull()).groupBy(*keys, "window_id").agg(
         F.min_by("model", F.struct(metric, "model")).alias("model")
     )
     won = best.groupBy("model").agg(F.count(F.lit(1)).alias("windows_won"))
     return won.orderBy(F.col("windows_won").desc(), "model")
 
 
-def metric_summary(report: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Mean and sample standard deviation of each error per model."""
+def metric_summary(report: DataFrame, metrics: Sequence[str] = METRICS, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean and sample standard deviation of each error per model (and series with ``keys``)."""
     aggs = []
     for m in metrics:
         if m in report.columns:
             aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std")]
-    return report.groupBy("model").agg(*aggs)
+    return report.groupBy(*keys, "model").agg(*aggs)
 
 
 REPORT_COLUMNS = ("date", "store_nbr", "family", "original_value", "method", "action", "new_value")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from retailcast.config import BacktestConfig, JobConfig
 from retailcast.models.boosted import BoostedConfig
+from retailcast.operators.backtest import window_metrics
 from retailcast.plans import bindings as b
 from retailcast.plans import jobs
 from retailcast.queries.evaluation import _PREDICTED, BASE_MODELS, last_week
@@ -106,7 +107,8 @@ def prepare_job(spark, sf):
 def ensemble_job(spark, sf):
     cfg = JobConfig()
     run = jobs.backtest_panel(spark, b.dense_sales(spark, sf), cfg, models={})
-    return jobs.ensemble_backtest(run, BASE_MODELS).metrics
+    # all series together; their windows begin on the same days
+    return window_metrics(jobs.ensemble_backtest(run, BASE_MODELS).predictions)
 
 
 @register("m15_forecast_job", "store_nbr i, family s, date d, yhat f4, lower f4, upper f4")

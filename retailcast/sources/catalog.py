@@ -8,18 +8,19 @@ LAYERS = ("raw", "cleaned", "features")
 
 
 class TableStore:
-    """Named tables in the layers raw, cleaned and features."""
+    """Named tables in the layers raw, cleaned and features. Stores with different prefixes share nothing."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str | None = None, prefix: str = "") -> None:
+        self.spark, self.prefix = spark, prefix
         for layer in LAYERS:
-            place = f" LOCATION '{root.rstrip('/')}/{layer}'" if root else ""
-            spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}{place}")
+            folder = f"{root.rstrip('/')}/{layer}" if root else None
+            place = f" LOCATION '{folder}'" if folder else ""
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {prefix}{layer}{place}")
 
     def _name(self, table: str, layer: str) -> str:
         if layer not in LAYERS:
             raise ValueError(f"unknown layer: {layer}")
-        return f"{layer}.`{table}`"
+        return f"{self.prefix}{layer}.`{table}`"
 
     def store(self, df: DataFrame, table: str, layer: str = "raw") -> None:
         """Create the table, or replace it with the frame."""

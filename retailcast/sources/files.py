@@ -36,11 +36,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file, from its first line."""
-    return spark.read.option("header", True).csv(path).columns
-
-
 def null_nan(df: DataFrame) -> DataFrame:
     """Null in place of NaN, so that aggregates skip it."""
     nulls: dict[str, Column] = {
@@ -59,7 +54,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     types = dict(part.strip().split(" ", 1) for part in schema.split(","))
     if all(c in types for c in raw.columns):
         wanted = ", ".join(f"`{c}` {types[c]}" for c in raw.columns)
-        return null_nan(spark.read.schema(wanted).option("header", True).csv(path))
+        return null_nan(spark.read.schema(wanted).option("header", True).option("enforceSchema", False).csv(path))
     casts = [
         F.expr(f"try_cast(`{c}` AS {types[c]})").alias(c) if c in types else F.col(f"`{c}`") for c in raw.columns
     ]
