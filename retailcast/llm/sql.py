@@ -30,13 +30,13 @@ DECONTAMINATE = r"""
 WITH lowered AS (
   SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 words AS (
-  SELECT doc_id, COALESCE(list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> ''), []) AS w
+  SELECT doc_id, COALESCE(list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> ''), []) AS w
   FROM lowered),
 items AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
          list_filter(regexp_split_to_array(
            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
   FROM benchmark WHERE text IS NOT NULL),
 wanted AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS g
