@@ -61,8 +61,8 @@ def bitmaps(values: pd.Series) -> list[int]:
 
 def place(items: DataFrame, capacity: int = CAPACITY, part_size: int = PART) -> DataFrame:
     """Part, bin and offset of each row's rest; ``items`` has doc_id, source, cluster, n_tokens."""
-    items = stored(items.select("doc_id", "source", "cluster", "n_tokens"), "items")
-    items = items.withColumn("row", F.monotonically_increasing_id())
+    items = items.select("doc_id", "source", "cluster", "n_tokens", F.monotonically_increasing_id().alias("row"))
+    items = stored(items, "items")  # row numbers are written: two scans may be split in different ways
     items = items.withColumns({"n_full": F.floor(F.col("n_tokens") / capacity), "rest": F.col("n_tokens") % capacity})
     parts = max(1, -(-items.count() // part_size))
     items = items.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
