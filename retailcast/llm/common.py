@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,20 +48,29 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
 
 
 def partition_sums(
-    df: DataFrame, add: Callable[[Iterator[pd.DataFrame]], dict[str, np.ndarray]], block: int = 1 << 16
+    df: DataFrame, add: Callable[[Iterator[pd.DataFrame]], dict[str, np.ndarray]], block: int = 1 << 16, together: int = 64
 ) -> dict[str, np.ndarray]:
     """Sum named float arrays over all partitions.
 
     ``add`` reduces one partition to a few arrays whose shapes do not depend on its rows. Each array
-    travels in blocks, the blocks are summed in parallel, and the driver receives one sum per block.
+    travels in blocks, which are summed in parallel: first over ``together`` partitions each, then over
+    the square of that, then over all, so that no task holds the blocks of all partitions of a large
+    input. The driver receives one sum per block.
     """
 
     def emit(batches):
+        partition = TaskContext.get().partitionId()
         for name, array in add(batches).items():
             flat = np.ascontiguousarray(array, np.float64).ravel()
             for at in range(0, len(flat), block):
                 yield pd.DataFrame(
-                    {"name": [name], "at": [at], "shape": [list(array.shape)], "part": [flat[at : at + block].tobytes()]}
+                    {
+                        "run": [partition],
+                        "name": [name],
+                        "at": [at],
+                        "shape": [list(array.shape)],
+                        "part": [flat[at : at + block].tobytes()],
+                    }
                 )
 
     def total(pdf):
@@ -68,11 +78,21 @@ def partition_sums(
         for part in pdf["part"].iloc[1:]:
             acc += np.frombuffer(part)
         return pd.DataFrame(
-            {"name": pdf["name"].iloc[:1], "at": pdf["at"].iloc[:1], "shape": pdf["shape"].iloc[:1], "part": [acc.tobytes()]}
+            {
+                "run": pdf["run"].iloc[:1],
+                "name": pdf["name"].iloc[:1],
+                "at": pdf["at"].iloc[:1],
+                "shape": pdf["shape"].iloc[:1],
+                "part": [acc.tobytes()],
+            }
         )
 
-    schema = "name string, at long, shape array<long>, part binary"
-    rows = df.mapInPandas(emit, schema).groupBy("name", "at").applyInPandas(total, schema).collect()
+    schema = "run long, name string, at long, shape array<long>, part binary"
+    parts = df.mapInPandas(emit, schema)
+    for _ in range(2):
+        parts = parts.withColumn("run", F.floor(F.col("run") / together))
+        parts = parts.groupBy("run", "name", "at").applyInPandas(total, schema)
+    rows = parts.groupBy("name", "at").applyInPandas(total, schema).collect()
     out: dict[str, np.ndarray] = {}
     for name in sorted({r["name"] for r in rows}):
         parts = sorted((r for r in rows if r["name"] == name), key=lambda r: r["at"])
