@@ -37,7 +37,7 @@ ORDER = 5
 BITS = 18
 WEIGHT = 2.0  # pseudo-counts given to the shorter context
 RANGE = (-5.0, 5.0)
-PIECE = 20_000  # URLs scored together
+PIECE = 1 << 20  # characters counted or scored together
 
 
 def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -78,6 +78,18 @@ def url_grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     return owner, number, grams
 
 
+def pieces(urls: list[str]) -> Iterator[slice]:
+    """Runs of URLs of about ``PIECE`` characters; a longer URL is a run of its own."""
+    begin = size = 0
+    for at, url in enumerate(urls):
+        if size and size + len(url) > PIECE:
+            yield slice(begin, at)
+            begin, size = at, 0
+        size += len(url) + 2
+    if urls:
+        yield slice(begin, len(urls))
+
+
 @dataclass(frozen=True)
 class MarkovPair:
     """Counts by class (0 rejected, 1 accepted) and bucket, and the number of characters of each class."""
@@ -110,8 +122,9 @@ def count_grams(judged: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for (label, half), part in pdf.groupby(["class", "half"]):
-                for at in range(0, len(part), PIECE):
-                    _, number, grams = url_grams(part["url"].iloc[at : at + PIECE].tolist())
+                urls = part["url"].tolist()
+                for run in pieces(urls):
+                    _, number, grams = url_grams(urls[run])
                     bucket, n = np.unique(np.concatenate([g[g >= 0] for g in grams]), return_counts=True)
                     bucket, n = np.append(bucket, -1), np.append(n, (number > 0).sum())
                     yield pd.DataFrame({"class": label, "half": half, "bucket": bucket, "n": n})
@@ -132,7 +145,8 @@ class UrlModel:
         @F.pandas_udf("double")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for urls in batches:
-                found = [self.pair.difference(urls.iloc[a : a + PIECE].tolist()) for a in range(0, len(urls), PIECE)]
+                urls = urls.tolist()
+                found = [self.pair.difference(urls[run]) for run in pieces(urls)]
                 yield pd.Series(self.calibrate(np.concatenate(found or [np.zeros(0)])))
 
         return score(url) if self.usable else F.lit(1.0)
@@ -159,10 +173,10 @@ def fit(ruled: DataFrame) -> UrlModel:
     def grid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for half, part in pdf.groupby("half"):
-                for at in range(0, len(part), PIECE):
-                    piece = part.iloc[at : at + PIECE]
-                    place = cell(halves[half].difference(piece["url"].tolist()), *RANGE)
-                    yield pd.DataFrame({"cell": place, "ones": piece["class"].to_numpy(), "n": 1}).groupby(
+                urls, classes = part["url"].tolist(), part["class"].to_numpy()
+                for run in pieces(urls):
+                    place = cell(halves[half].difference(urls[run]), *RANGE)
+                    yield pd.DataFrame({"cell": place, "ones": classes[run], "n": 1}).groupby(
                         "cell", as_index=False
                     ).sum()
 
