@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from retailcast.llm import (
     calibration,
+    common,
     components,
     decontaminate,
     line_dedup,
@@ -313,8 +314,9 @@ def slow_base(text):
     text, out = text or "", []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         out.append((0, m.start(), m.end()))
-    for kind, pattern in ((1, pii.IP), (2, pii.CARD), (3, pii.PHONE)):
-        for m in pattern.finditer(text):
+    patterns = (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+    for kind, pattern in enumerate(patterns, 1):
+        for m in re.finditer(pattern, text):
             d = re.sub("[^0-9]", "", m[0])
             odd = sum(sum(divmod(int(c) * 2, 10)) if k % 2 else int(c) for k, c in enumerate(d[::-1]))
             fits = (max(map(int, m[0].split("."))) <= 255 if kind == 1 else 13 <= len(d) <= 19 and odd % 10 == 0) if kind < 3 else 9 <= len(d) <= 15
@@ -328,6 +330,51 @@ def test_base_spans():
     for _ in range(3000):
         text = "".join(rng.choice("a1.@-+ (%9 0") for _ in range(rng.randrange(40)))
         assert pii.base_spans(text) == slow_base(text), text
+    for _ in range(1000):
+        text = "".join(rng.choice("12.") for _ in range(rng.randrange(60)))
+        assert pii.base_spans(text) == slow_base(text), text
+
+
+def test_taken_stretches():
+    rng = random.Random(8)
+    for _ in range(300):
+        spans = [(0, a, a + rng.randrange(1, 6)) for a in (rng.randrange(40) for _ in range(rng.randrange(6)))]
+        taken = pii.Taken(spans)
+        for _ in range(12):
+            a = rng.randrange(45)
+            b = a + rng.randrange(1, 6)
+            touched = any(a < e and s < b for _, s, e in spans)
+            assert taken.touches(a, b) == touched
+            if not touched:
+                taken.add(a, b)
+                spans.append((0, a, b))
+
+
+def test_long_texts_with_many_candidates():
+    digits = "7" * 300_000
+    assert pii.base_spans(digits) == []
+    base, candidates = pii.find("4111 1111 1111 1111, a@b.c; " * 20_000)
+    assert len(base) == 40_000 and all(not free for _, _, _, _, free, _ in candidates)
+
+
+def test_url_pieces(monkeypatch):
+    monkeypatch.setattr(url_filter, "PIECE", 10)
+    urls = ["", "abc", "x" * 50, "", "ab", "cd", "efghijk"]
+    runs = list(url_filter.pieces(urls))
+    assert [u for run in runs for u in urls[run]] == urls and len(runs) > 2
+    assert all(sum(map(len, urls[run])) <= 10 or run.stop - run.start == 1 for run in runs if "x" * 50 not in urls[run])
+    assert list(url_filter.pieces([])) == []
+
+
+def test_partition_sums(spark):
+    df = spark.range(0, 100, 1, 13)
+
+    def add(batches):
+        n = sum(pdf["id"].sum() for pdf in batches)
+        return {"a": np.full((2, 5), float(n)), "b": np.ones(1)}
+
+    got = common.partition_sums(df, add, block=3, together=2)
+    assert got["a"].shape == (2, 5) and (got["a"] == 4950).all() and got["b"].tolist() == [13]
 
 
 def test_pii(docs, none):
