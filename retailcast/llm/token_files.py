@@ -15,99 +15,145 @@ columns are not written.
 
 from __future__ import annotations
 
+import json
 import os
+import string
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from types import ModuleType
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from retailcast.session import scratch_path
 
-KNOWN = 300_000  # words a task remembers
-RUN = 2_000  # words of letters encoded together
+KNOWN = 500_000  # words of a generation that a task remembers
+TOGETHER = 512  # texts encoded together
+SIGNS = string.punctuation.replace("'", "")  # a run of them after letters is one piece
+LATIN = 0x250  # letters below it are Latin
+# fixed values: the steps of a tokenizer that can be applied word by word
+WORD_STEPS = [
+    [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)],
+    [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)],
+    "BPE",
+    None,
+    "</w>",
+    None,
+]
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 
 
 class WordEncoder:
-    """Encodes texts through a memory of words.
+    """Encodes texts through a memory of words, as ids in the bytes of 32-bit integers.
 
-    A word of letters, perhaps with stops or commas after it, is taken apart: letters and signs are never
-    joined by the tokenizer. Words of letters are encoded many at a time; the ids of one end with the
-    first id that closes a word.
+    A word of Latin letters, perhaps with signs after it, is taken apart: letters and signs are
+    never joined by the tokenizer. Such letters are one piece, which goes to the tokenizer's model as it is.
+    Any other word goes through the whole tokenizer. The memory has two generations: when the young one
+    is full it becomes the old one, and words met again move back, so rare words alone are forgotten.
+
+    A definition with other steps than these is given whole texts.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
         self.tokenizer = Tokenizer.from_str(definition)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, list[int]] = {}
-        self.letters: dict[str, list[int]] = {}
-
-    def one_by_one(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def letter_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), RUN):
-            run = words[at : at + RUN]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, np.int64)
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            if len(ends) == len(run) and ends[-1] == len(ids):
-                plain, begin = ids.tolist(), 0
-                for w, end in zip(run, ends, strict=True):
-                    self.letters[w] = plain[begin:end]
-                    begin = end
-            else:
-                self.letters.update(zip(run, self.one_by_one(run), strict=True))
+        self.by_word = steps_of(json.loads(definition)) == WORD_STEPS
+        self.model = self.tokenizer.model
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.shown = {c: shown(chr(c))[0][0] for c in range(128, LATIN) if chr(c).isalpha()}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters_of(self, core: str) -> str | None:
+        """The piece that the model gets for a core of Latin letters, None for any other."""
+        if core.isascii():
+            return core.lower() if core.isalpha() else None
+        plain = unicodedata.normalize("NFC", core).lower()
+        return plain.translate(self.shown) if plain.isalpha() and ord(max(plain)) < LATIN else None
 
     def learn(self, new: list[str]) -> None:
-        parts, odd = [], []
+        known, letters, tokenize, odd, tails = self.known, self.letters, self.model.tokenize, [], []
         for w in new:
-            core = w.rstrip(".,")
-            if core.isascii():
-                letters, lowered = core.isalpha(), core.lower()
-            else:
-                letters, lowered = unicodedata.normalize("NFC", core).lower().isalpha(), core
-            if letters:
-                parts.append((w, lowered, w[len(core) :]))
-            else:
+            core = w.rstrip(SIGNS)
+            piece = self.letters_of(core)
+            if piece is None:
                 odd.append(w)
-        self.letter_words(list({core for _, core, _ in parts if core not in self.letters}))
-        odd += list({tail for _, _, tail in parts if tail and tail not in self.known})
-        self.known.update(zip(odd, self.one_by_one(odd), strict=True))
-        for w, core, tail in parts:
-            self.known[w] = self.letters[core] + self.known[tail] if tail else self.letters[core]
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
+                continue
+            ids = letters.get(piece)
+            if ids is None:
+                ids = letters[piece] = array("i", [t.id for t in tokenize(piece)]).tobytes()
+            known[w] = ids
+            if len(core) < len(w):
+                tails.append((w, w[len(core) :]))
+        odd += {tail for _, tail in tails}.difference(known, odd)
+        known.update(zip(odd, self.whole(odd), strict=True))
+        for w, tail in tails:
+            known[w] += known[tail]
+
+    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        if not self.by_word:
+            return [ids + end for ids in self.whole([t or "" for t in texts])]
         runs = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list({w for run in runs for w in run if w not in self.known})
+        new = set().union(*runs).difference(self.known)
         if len(self.known) + len(new) > KNOWN:
-            self.known, self.letters = {}, {}
-            new = list({w for run in runs for w in run})
-        self.learn(new)
+            self.old, self.known = self.known, {}
+            new = set().union(*runs)
+        if len(self.letters) > KNOWN:
+            self.letters = {}
+        met = [w for w in new if w in self.old]
+        self.known.update((w, self.old[w]) for w in met)
+        self.learn(list(new.difference(met)))
         get = self.known.__getitem__
-        return [np.array([*chain.from_iterable(map(get, run)), end_id], np.int32) for run in runs]
+        return [b"".join(map(get, run)) + end for run in runs]
+
+
+def worker_encoder(definition: str) -> WordEncoder:
+    """The encoder of this Python worker: tasks that follow each other in one worker share its memory.
+
+    It is kept in a module of its own, because the functions of this one come anew with every task.
+    """
+    keeper = sys.modules.setdefault("retailcast_worker_encoders", ModuleType("retailcast_worker_encoders"))
+    kept = vars(keeper).setdefault("kept", {})
+    if definition not in kept:
+        kept.clear()  # one tokenizer at a time
+        kept[definition] = WordEncoder(definition)
+    return kept[definition]
+
+
+def steps_of(definition: dict) -> list:
+    """The steps of a tokenizer's definition that decide whether it can be applied word by word."""
+    steps = []
+    for part in ("normalizer", "pre_tokenizer"):
+        whole = definition.get(part) or {}
+        steps.append([(s["type"], (s.get("pattern") or {}).get("Regex")) for s in whole.get("normalizers", whole.get("pretokenizers", []))])
+    model = definition["model"]
+    return [*steps, model["type"], model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"), model.get("unk_token")]
 
 
 def ids_of(text: Column, definition: str, end_id: int = 1) -> Column:
     """Ids of each whole text with the end id; ``definition`` is the tokenizer's JSON text."""
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = WordEncoder(definition)
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, end = worker_encoder(definition), array("i", [end_id]).tobytes()
         for texts in batches:
-            out = []
-            for at in range(0, len(texts), 512):
-                out += encoder.encode(list(texts.iloc[at : at + 512]), end_id)
-            yield pd.Series(out)
+            found = []
+            for at in range(0, len(texts), TOGETHER):
+                found += encoder.encode(texts.slice(at, TOGETHER).to_pylist(), end)
+            bounds = np.cumsum([0, *map(len, found)]) // 4
+            values = pa.array(np.frombuffer(b"".join(found), np.int32))
+            yield pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
 
     return run(text)
 
@@ -154,9 +200,10 @@ def with_starts(tokens: DataFrame) -> DataFrame:
 def crc_of(ids: Column) -> Column:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
 
-    @F.pandas_udf("long")
-    def run(series: pd.Series) -> pd.Series:
-        return series.map(lambda a: zlib.crc32(np.asarray(a, "<u4").tobytes())).astype("int64")
+    @F.arrow_udf("long")
+    def run(lists: pa.Array) -> pa.Array:
+        values, bounds = memoryview(lists.values.to_numpy().astype("<i4").tobytes()), lists.offsets.to_pylist()
+        return pa.array([zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.int64())
 
     return run(ids)
 

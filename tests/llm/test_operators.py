@@ -1,6 +1,7 @@
 """Operators against brute force and on edge cases."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -232,6 +233,24 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.token_index(none, definition, path=str(tmp_path / "u")).count() == 0
 
 
+def test_words_encode_like_whole_texts(monkeypatch):
+    definition = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    tokenizer = Tokenizer.from_str(definition)
+    rng = np.random.default_rng(5)
+    letters = list("aAbßéÉñİıſKÅµºªĀǅǈʼ'’.,-\t\x85\x1cσΣς漢字1٢٣_%!\u200d🙂ÿŸ\u0301 ., \n")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 12))) for _ in range(4000)] + ["Word, word. WORD été Été, <|endoftext|>"] * 2
+    monkeypatch.setattr(token_files, "KNOWN", 700)  # several generations
+    encoder = token_files.WordEncoder(definition)
+    assert encoder.by_word
+    found = [x for at in range(0, len(texts), 256) for x in encoder.encode(texts[at : at + 256], b"")]
+    assert [np.frombuffer(x, "<i4").tolist() for x in found] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    other = json.loads(definition)
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"\S+\s?\S*"}
+    encoder = token_files.WordEncoder(json.dumps(other))
+    want = Tokenizer.from_str(json.dumps(other)).encode("one two three", add_special_tokens=False).ids
+    assert not encoder.by_word and np.frombuffer(encoder.encode(["one two three"], b"")[0], "<i4").tolist() == want
+
+
 def test_line_dedup(docs, none):
     rows = {r["doc_id"]: r for r in line_dedup.report(docs).collect()}
     assert rows[7]["n_removed"] == 0 and 0 < rows[8]["n_removed"] <= 8 and rows[4]["n_lines"] == 0
