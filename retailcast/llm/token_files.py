@@ -22,7 +22,7 @@ import sys
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from types import ModuleType
 
 import numpy as np
@@ -33,8 +33,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from retailcast.session import scratch_path
 
-KNOWN = 500_000  # words of a generation that a task remembers
-TOGETHER = 512  # texts encoded together
+KNOWN = 350_000  # words of a generation that a task remembers
 SIGNS = string.punctuation.replace("'", "")  # a run of them after letters is one piece
 LATIN = 0x250  # letters below it are Latin
 # fixed values: the steps of a tokenizer that can be applied word by word
@@ -50,11 +49,23 @@ ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 
 
+class Memory(dict):
+    """Ids by word; a word that is missing is looked up and stays."""
+
+    def __init__(self, look_up: Callable[[str], bytes]):
+        super().__init__()
+        self.look_up = look_up
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.look_up(word)
+        return ids
+
+
 class WordEncoder:
     """Encodes texts through a memory of words, as ids in the bytes of 32-bit integers.
 
-    A word of Latin letters, perhaps with signs after it, is taken apart: letters and signs are
-    never joined by the tokenizer. Such letters are one piece, which goes to the tokenizer's model as it is.
+    A word of Latin letters, perhaps with signs after it, is taken apart: letters and signs are never
+    joined by the tokenizer. Such letters are one piece, which goes to the tokenizer's model as it is.
     Any other word goes through the whole tokenizer. The memory has two generations: when the young one
     is full it becomes the old one, and words met again move back, so rare words alone are forgotten.
 
@@ -68,12 +79,23 @@ class WordEncoder:
         self.model = self.tokenizer.model
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.shown = {c: shown(chr(c))[0][0] for c in range(128, LATIN) if chr(c).isalpha()}
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.known, self.old = Memory(self.word), {}
+        self.pieces, self.tails = Memory(self.piece), Memory(self.whole)
+
+    def whole(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        return array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def word(self, word: str) -> bytes:
+        if word in self.old:
+            return self.old[word]
+        core = word.rstrip(SIGNS)
+        piece = self.letters_of(core)
+        if piece is None:
+            return self.whole(word)
+        return self.pieces[piece] + self.tails[word[len(core) :]]
 
     def letters_of(self, core: str) -> str | None:
         """The piece that the model gets for a core of Latin letters, None for any other."""
@@ -82,40 +104,16 @@ class WordEncoder:
         plain = unicodedata.normalize("NFC", core).lower()
         return plain.translate(self.shown) if plain.isalpha() and ord(max(plain)) < LATIN else None
 
-    def learn(self, new: list[str]) -> None:
-        known, letters, tokenize, odd, tails = self.known, self.letters, self.model.tokenize, [], []
-        for w in new:
-            core = w.rstrip(SIGNS)
-            piece = self.letters_of(core)
-            if piece is None:
-                odd.append(w)
-                continue
-            ids = letters.get(piece)
-            if ids is None:
-                ids = letters[piece] = array("i", [t.id for t in tokenize(piece)]).tobytes()
-            known[w] = ids
-            if len(core) < len(w):
-                tails.append((w, w[len(core) :]))
-        odd += {tail for _, tail in tails}.difference(known, odd)
-        known.update(zip(odd, self.whole(odd), strict=True))
-        for w, tail in tails:
-            known[w] += known[tail]
-
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        if not self.by_word:
-            return [ids + end for ids in self.whole([t or "" for t in texts])]
-        runs = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = set().union(*runs).difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
-            self.old, self.known = self.known, {}
-            new = set().union(*runs)
-        if len(self.letters) > KNOWN:
-            self.letters = {}
-        met = [w for w in new if w in self.old]
-        self.known.update((w, self.old[w]) for w in met)
-        self.learn(list(new.difference(met)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, run)) + end for run in runs]
+    def encode(self, text: str | None) -> bytes:
+        if not text or not self.by_word:
+            return self.whole(text or "")
+        if len(self.known) > KNOWN:
+            self.known, self.old = Memory(self.word), self.known
+        if len(self.pieces) > KNOWN:
+            self.pieces = Memory(self.piece)
+        if len(self.tails) > KNOWN:
+            self.tails = Memory(self.whole)
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def worker_encoder(definition: str) -> WordEncoder:
@@ -148,9 +146,7 @@ def ids_of(text: Column, definition: str, end_id: int = 1) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, end = worker_encoder(definition), array("i", [end_id]).tobytes()
         for texts in batches:
-            found = []
-            for at in range(0, len(texts), TOGETHER):
-                found += encoder.encode(texts.slice(at, TOGETHER).to_pylist(), end)
+            found = [encoder.encode(t.as_py()) + end for t in texts]
             bounds = np.cumsum([0, *map(len, found)]) // 4
             values = pa.array(np.frombuffer(b"".join(found), np.int32))
             yield pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
