@@ -39,14 +39,17 @@ def _inputs(df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFra
 class BoostedModel:
     """A fitted pipeline, its feature names and the series it may score."""
 
-    pipeline: PipelineModel
+    pipeline: PipelineModel | None
     features: list[str]
     series: DataFrame | None = None
 
+    def known_rows(self, df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+        """The rows of trained series, all rows if the model names no series."""
+        return df if self.series is None else df.join(self.series, list(keys), "left_semi")
+
     def predict(self, df: DataFrame, keys: Sequence[str] = KEYS, date: str = DATE) -> DataFrame:
         """(date, keys, prediction) for the rows of trained series; empty when there are none."""
-        rows = df if self.series is None else df.join(self.series, list(keys), "left_semi")
-        scored = self.pipeline.transform(_inputs(rows, self.features, (date, *keys)))
+        scored = self.pipeline.transform(_inputs(self.known_rows(df, keys), self.features, (date, *keys)))
         return scored.select(date, *keys, "prediction")
 
     def importances(self) -> DataFrame:

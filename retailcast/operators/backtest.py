@@ -281,14 +281,14 @@ def model_names(predictions: DataFrame) -> list[str]:
     return [r["model"] for r in predictions.select("model").distinct().orderBy("model").collect()]
 
 
-def diebold_mariano(
+def loss_differences(
     predictions: DataFrame,
     models: Sequence[str] | None = None,
     keys: Sequence[str] = KEYS,
     date: str = DATE,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Test of equal squared error for each pair of models, overall or per ``by``.
+    """Count, mean and variance of the difference of squared errors for each pair of models, overall or per ``by``.
 
     The losses of a row are brought next to each other by one grouping; each pair is then
     a set of three running sums, so the rows are not joined with themselves.
@@ -307,8 +307,8 @@ def diebold_mariano(
                 T.StructField("model_a", T.StringType()),
                 T.StructField("model_b", T.StringType()),
                 T.StructField("n", T.LongType()),
-                T.StructField("statistic", T.DoubleType()),
-                T.StructField("p_value", T.DoubleType()),
+                T.StructField("mean", T.DoubleType()),
+                T.StructField("variance", T.DoubleType()),
             ]
         )
         return predictions.sparkSession.createDataFrame([], empty)
@@ -328,7 +328,18 @@ def diebold_mariano(
             for p, (i, j) in enumerate(pairs)
         ]
     )
-    stats = wide.groupBy(*by).agg(*aggs).select(*by, F.inline(rows)).where(F.col("n") > 1)
+    return wide.groupBy(*by).agg(*aggs).select(*by, F.inline(rows))
+
+
+def diebold_mariano(
+    predictions: DataFrame,
+    models: Sequence[str] | None = None,
+    keys: Sequence[str] = KEYS,
+    date: str = DATE,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Test of equal squared error for each pair of models, overall or per ``by``."""
+    stats = loss_differences(predictions, models, keys, date, by).where(F.col("n") > 1)
     ratio = F.try_divide(F.col("mean"), F.sqrt(F.col("variance") / F.col("n")))
     statistic = F.when(F.col("variance") == 0, F.lit(0.0)).otherwise(ratio)
     return stats.select(*by, "model_a", "model_b", "n", statistic.alias("statistic")).withColumn(

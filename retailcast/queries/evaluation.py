@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from retailcast.config import BacktestConfig
 from retailcast.models import additive, boosted, sequence
 from retailcast.operators import backtest, ensemble, features, panel
 from retailcast.operators.registry import ModelRegistry
@@ -186,13 +185,8 @@ def p_values_by_series(spark, sf):
     f"""WITH {_DM} SELECT store_nbr, family, COUNT(*) AS n, AVG(d) AS mean, VAR_SAMP(d) AS variance FROM e GROUP BY 1, 2""",
 )
 def loss_differences(spark, sf):
-    loss = F.pow(F.col("y") - F.col("yhat"), 2)
-    wide = baselines(spark, sf).groupBy("store_nbr", "family", "window_id", "date").agg(
-        (F.max(F.when(F.col("model") == "mean_28d", loss)) - F.max(F.when(F.col("model") == "naive", loss))).alias("d")
-    )
-    return wide.groupBy("store_nbr", "family").agg(
-        F.count("d").alias("n"), F.avg("d").alias("mean"), F.var_samp("d").alias("variance")
-    )
+    by = ("store_nbr", "family")
+    return backtest.loss_differences(baselines(spark, sf), models=("mean_28d", "naive"), by=by).drop("model_a", "model_b")
 
 
 _REPORT = f"""{_METRICS}, report AS (SELECT m.window_id, train_start, train_end, test_start, test_end, model,
@@ -350,10 +344,7 @@ def run_backtest(spark, sf):
 
 @register("b4_additive_backtest", f"window_id i, model s, {_METRIC_SPEC}, n_scored i")
 def additive_backtest(spark, sf):
-    monthly = BacktestConfig(step_days=28)
-    predictions = backtest.model_predictions(
-        b.dense_sales(spark, sf), {"additive": additive.backtest_model()}, cfg=monthly, windows_per_task=8
-    )
+    predictions = backtest.model_predictions(b.dense_sales(spark, sf), {"additive": additive.backtest_model()}, windows_per_task=8)
     return backtest.window_metrics(predictions)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retailcast.config import BacktestConfig, JobConfig
+from retailcast.config import JobConfig
 from retailcast.models.boosted import BoostedConfig
 from retailcast.operators.backtest import window_metrics
 from retailcast.plans import bindings as b
@@ -45,8 +45,8 @@ def detection_job(spark, sf):
       AVG(sales) OVER (PARTITION BY store_nbr, family ORDER BY date ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS mean
       FROM sales WINDOW k AS (PARTITION BY store_nbr, family ORDER BY date)),
     r AS (SELECT store_nbr, family, MAX(date) AS hi, CAST(MIN(date) + INTERVAL 12 MONTH AS DATE) AS first FROM sales GROUP BY 1, 2),
-    w AS (SELECT store_nbr, family, i AS window_id, CAST(first + CAST(28 * i AS INT) AS DATE) AS train_end
-      FROM r, generate_series(0, 1000) AS g(i) WHERE first + CAST(28 * i + 28 AS INT) <= hi),
+    w AS (SELECT store_nbr, family, i AS window_id, CAST(first + CAST(7 * i AS INT) AS DATE) AS train_end
+      FROM r, generate_series(0, 4000) AS g(i) WHERE first + CAST(7 * i + 28 AS INT) <= hi),
     tr AS (SELECT w.*, s.n, s.sales AS naive, s.mean FROM w ASOF JOIN st s
       ON w.store_nbr = s.store_nbr AND w.family = s.family AND w.train_end >= s.date),
     lw AS (SELECT tr.store_nbr, tr.family, window_id, isodow(z.date) AS wd, ARG_MAX(z.sales, z.n) AS yhat FROM tr JOIN st z
@@ -66,8 +66,7 @@ def detection_job(spark, sf):
     FROM m GROUP BY 1""",
 )
 def backtest_job(spark, sf):
-    cfg = _config(spark, sf, backtest=BacktestConfig(step_days=28))
-    return jobs.backtest(spark, cfg, {"last_week": last_week}).aggregates
+    return jobs.backtest(spark, _config(spark, sf), {"last_week": last_week}).aggregates
 
 
 @register(

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from retailcast.models.boosted import BoostedModel
 from retailcast.operators import features, joins, panel, quality, quantiles
 from retailcast.operators.anomaly import interpolate_nulls
 from retailcast.operators.ordered import global_lag, ordered_scan
@@ -205,7 +206,7 @@ def missing_dates(spark, sf):
 def known_series(spark, sf):
     sales = b.sales(spark, sf)
     trained = sales.groupBy("store_nbr", "family").agg(F.count(F.lit(1)).alias("n")).where("n >= 1300")
-    return sales.join(trained, ["store_nbr", "family"], "left_semi")
+    return BoostedModel(None, [], trained.drop("n")).known_rows(sales)
 
 
 @register("j11_densify", "date d, store_nbr i, family s, sales f", f"WITH {DENSE} SELECT * FROM dense")
