@@ -119,7 +119,6 @@ def remove_repeated(docs: DataFrame, span: int = 2) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("doc_id").alias("key_id"),
         F.xxhash64("text").alias("key_text"),
-        "text",
     )
     same = F.col("key_id").eqNullSafe(F.col("drop_id")) & (F.col("key_text") == F.col("drop_text"))
     joined = rows.join(drop.hint("merge"), same, "left")  # grows with the corpus, never broadcast
@@ -128,13 +127,14 @@ def remove_repeated(docs: DataFrame, span: int = 2) -> DataFrame:
         keep = F.array_except(chunks_of(lines, span), F.col("removed"))
         return F.array_join(F.flatten(F.transform(keep, lambda c: F.slice(lines, _first(c) + 1, _size(c)))), "\n")
 
-    lines = F.split("text", "\n", -1)
+    whole = F.col("row.text")  # the row carries the text through the join, once
+    lines = F.split(whole, "\n", -1)
     text = bind(lines, left_over)
     count = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, c: acc + _size(c))
     return joined.select(
         "row",
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(text).alias("kept_text"),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("removed").isNull(), whole).otherwise(text).alias("kept_text"),
+        F.when(whole.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(count, F.lit(0).cast("long")).alias("n_removed"),
     )
 
