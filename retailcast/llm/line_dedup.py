@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines, in DataFrame functions only.
+"""Line dedup by content-defined chunks of lines and by passages, in DataFrame functions only.
 
 Every line is hashed; a rolling hash over ``span`` line hashes marks a chunk start where it has a local
 minimum. A start depends on the lines around it alone, so an insertion moves no boundary further away
@@ -7,11 +7,17 @@ Chunks whose hash occurs more than once are compared byte by byte: they are grou
 content. Of each repeated chunk the first occurrence stays (smallest id, nulls last, then
 smallest text hash, then position); the lines of all others are removed.
 
+The chunks are the contract of the query (``report``, see its SQL). A start depends on three lines, so they
+miss passages of few lines between other neighbours. The stage (``deduplicate``) therefore takes passages
+that depend on no neighbour: every two neighbouring lines, overlapping, and every line over ``LONG_LINE``
+words, compared by SHA-256. A repeated run of any two lines or more is removed whole, wherever it
+stands; the first occurrence of every line stays. A shorter line that is repeated alone stays.
+
 Hashes alone are counted over the whole corpus; content travels only for chunks with a repeated hash.
 
 Defined cases: a null text stays null and has no lines; an empty text is one empty line; texts whose
-every chunk occurred before become empty; rows that are equal in id and text are one document and
-get the same result. Extra columns pass through ``remove_repeated`` untouched.
+every chunk or passage occurred before become empty; rows that are equal in id and text are one document and
+get the same result. Extra columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from retailcast.llm.common import bind, stored
 
 PRIME = 1_000_003
 SHIFT = 1 << 31  # a chunk is packed as first line * SHIFT + number of lines
+LONG_LINE = 50  # a line of more words is a passage of its own
 
 
 def line_hash(line: Column) -> Column:
@@ -72,19 +79,45 @@ def _body(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, _first(chunk) + 1, _size(chunk)), "\n")
 
 
-def repeated_chunks(docs: DataFrame, span: int = 2) -> DataFrame:
-    """key_id, key_text and chunk of every occurrence that is to be removed."""
+def passages_of(lines: Column, least_words: int = LONG_LINE) -> Column:
+    """Packed passages of an array of lines: every two neighbouring lines, and every line over ``least_words``
+    words. Blank lines do not count; those between the two belong to the passage."""
+
+    def line(i: Column) -> Column:
+        return F.get(lines, i)
+
+    def pairs(at: Column) -> Column:
+        opened = F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))
+        return F.transform(opened, lambda s, j: s.cast("long") * SHIFT + F.get(at, j + 1) - s + 1)
+
+    def singles(at: Column) -> Column:
+        long_lines = F.filter(
+            at, lambda i: (F.length(line(i)) > 2 * least_words) & (F.size(F.split(F.trim(line(i)), r"\s+")) > least_words)
+        )
+        return F.transform(long_lines, lambda s: s.cast("long") * SHIFT + 1)
+
+    full = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: line(i).rlike(r"\S"))
+    return bind(full, lambda at: F.concat(pairs(at), singles(at)))
+
+
+def _passage(lines: Column, passage: Column) -> Column:
+    """Digest of the first and the last line; a passage of one line has one."""
+    first, size = _first(passage), _size(passage)
+    both = F.concat_ws("\n", F.get(lines, first), F.when(size > 1, F.get(lines, first + size - 1)))
+    return F.unhex(F.sha2(both.cast("binary"), 256))
+
+
+def _repeated(docs: DataFrame, units, content) -> DataFrame:
+    """key_id, key_text and chunk of every occurrence that is to be removed, of the packed chunks ``units(lines)``
+    compared by ``content(lines, chunk)``."""
     keyed = docs.select(F.col("doc_id").alias("key_id"), F.xxhash64("text").alias("key_text"), "text").where("text is not null")
 
     def multi(make) -> Column:
-        """``make(lines, chunk)`` for the chunks of several lines."""
-        return bind(
-            F.split("text", "\n", -1),
-            lambda lines: F.transform(F.filter(chunks_of(lines, span), lambda c: _size(c) > 1), lambda c: make(lines, c)),
-        )
+        """``make(lines, chunk)`` for the chunks."""
+        return bind(F.split("text", "\n", -1), lambda lines: F.transform(units(lines), lambda c: make(lines, c)))
 
     def hash_of(lines: Column, c: Column) -> Column:
-        return F.xxhash64(_body(lines, c))
+        return F.xxhash64(content(lines, c))
 
     # outer forms: the optimizer derives no filter that would compute the chunks once more
     hashed = keyed.select(F.explode_outer(multi(hash_of)).alias("hash")).where("hash is not null")
@@ -95,7 +128,7 @@ def repeated_chunks(docs: DataFrame, span: int = 2) -> DataFrame:
         F.inline_outer(
             multi(
                 lambda lines, c: bind(
-                    _body(lines, c), lambda body: F.struct(c.alias("chunk"), body.alias("body"), F.xxhash64(body).alias("hash"))
+                    content(lines, c), lambda body: F.struct(c.alias("chunk"), body.alias("body"), F.xxhash64(body).alias("hash"))
                 )
             )
         ),
@@ -111,9 +144,19 @@ def repeated_chunks(docs: DataFrame, span: int = 2) -> DataFrame:
     )
 
 
-def remove_repeated(docs: DataFrame, span: int = 2) -> DataFrame:
-    """``row`` (the input columns), ``kept_text``, ``n_lines`` and ``n_removed`` of every row."""
-    drop = repeated_chunks(docs, span).groupBy("key_id", "key_text").agg(F.collect_set("chunk").alias("removed"))
+def repeated_chunks(docs: DataFrame, span: int = 2) -> DataFrame:
+    """key_id, key_text and chunk of every later occurrence of a chunk of several lines."""
+    return _repeated(docs, lambda lines: F.filter(chunks_of(lines, span), lambda c: _size(c) > 1), _body)
+
+
+def repeated_passages(docs: DataFrame, least_words: int = LONG_LINE) -> DataFrame:
+    """key_id, key_text and chunk of every later occurrence of a passage."""
+    return _repeated(docs, lambda lines: passages_of(lines, least_words), _passage)
+
+
+def _joined(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``row`` (the input columns) and ``removed``, the packed chunks to remove or null."""
+    drop = repeated.groupBy("key_id", "key_text").agg(F.collect_set("chunk").alias("removed"))
     drop = stored(drop.withColumnsRenamed({"key_id": "drop_id", "key_text": "drop_text"}), "removed")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
@@ -121,7 +164,12 @@ def remove_repeated(docs: DataFrame, span: int = 2) -> DataFrame:
         F.xxhash64("text").alias("key_text"),
     )
     same = F.col("key_id").eqNullSafe(F.col("drop_id")) & (F.col("key_text") == F.col("drop_text"))
-    joined = rows.join(drop.hint("merge"), same, "left")  # grows with the corpus, never broadcast
+    return rows.join(drop.hint("merge"), same, "left")  # grows with the corpus, never broadcast
+
+
+def remove_repeated(docs: DataFrame, span: int = 2) -> DataFrame:
+    """``row`` (the input columns), ``kept_text``, ``n_lines`` and ``n_removed`` of every row."""
+    joined = _joined(docs, repeated_chunks(docs, span))
 
     def left_over(lines: Column) -> Column:
         keep = F.array_except(chunks_of(lines, span), F.col("removed"))
@@ -139,9 +187,29 @@ def remove_repeated(docs: DataFrame, span: int = 2) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, span: int = 2) -> DataFrame:
-    """The documents with the kept lines as text, all columns as they were; ``n_chars`` follows the text."""
-    out = remove_repeated(docs, span)
+def remove_passages(docs: DataFrame, least_words: int = LONG_LINE) -> DataFrame:
+    """``row`` (the input columns), ``kept_text`` and ``n_removed`` of every row."""
+    joined = _joined(docs, repeated_passages(docs, least_words))
+    gone = F.array_distinct(
+        F.flatten(F.transform("removed", lambda c: F.sequence(_first(c), _first(c) + _size(c) - 1)))
+    )
+
+    def left_over(lines: Column) -> Column:
+        keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
+
+    whole = F.col("row.text")
+    text = bind(F.split(whole, "\n", -1), left_over)
+    return joined.select(
+        "row",
+        F.when(F.col("removed").isNull(), whole).otherwise(text).alias("kept_text"),
+        F.when(F.col("removed").isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_removed"),
+    )
+
+
+def deduplicate(docs: DataFrame, least_words: int = LONG_LINE) -> DataFrame:
+    """The documents without repeated passages, all other columns as they were; ``n_chars`` follows the text."""
+    out = remove_passages(docs, least_words)
     columns = []
     for name in docs.columns:
         value = F.col(f"row.`{name}`")

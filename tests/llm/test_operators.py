@@ -262,6 +262,27 @@ def test_line_dedup(docs, none):
     assert line_dedup.report(none).count() == 0
 
 
+def test_passages_between_other_neighbours(spark):
+    rng = random.Random(5)
+
+    def lines(n, words=12):
+        return ["".join(f"w{rng.randrange(10**6)} " for _ in range(words)).strip() for _ in range(n)]
+
+    planted = {n: lines(n) for n in range(2, 7)} | {1: lines(1, 51), 0: lines(1, 50)}
+    texts, own = [], []
+    for turn in range(2):
+        for passage in planted.values():
+            before, after = lines(3 * turn + 1), lines(2)
+            texts.append("\n".join(before + passage + [""] * (len(passage) > 1) + after))
+            own.append(before + [""] * (len(passage) > 1) + after)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(docs).collect()}
+    for k, n in enumerate(planted):
+        assert got[k] == texts[k]
+        later = k + len(planted)
+        assert got[later] == ("\n".join(own[later]) if n else texts[later])
+
+
 def test_url_rules(spark):
     urls = {
         "https://WWW.Example.com/en/1": ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
