@@ -194,6 +194,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def only(docs: DataFrame, rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``chosen``, once each; ``rows`` has the keys of all."""
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").alias("key_id"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key_text"),
+    )
+    same = F.col("key_id").eqNullSafe(F.col("keep_id")) & (F.col("key_text") == F.col("keep_text"))
+    left = keyed.join(stored(chosen, "chosen").hint("merge"), same, "left_semi")
+    if not rows.groupBy("key_id", "key_text").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["key_id", "key_text"])  # only repeated rows need this exchange
+    return left.select("row.*")
+
+
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """One row of each group, all columns as they were: the smallest id, nulls last, then the smallest text.
 
@@ -201,11 +215,6 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     once, to meet the keys of the rows to keep.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col("doc_id").alias("key_id"),
-        F.xxhash64(text).alias("key_text"),
-    )
     rows = stored(
         docs.select(
             F.col("doc_id").alias("key_id"), F.xxhash64(text).alias("key_text"), fingerprint_of(F.col("text"), width).alias("fp")
@@ -221,8 +230,4 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
         .agg(F.min("best").alias("best"))
         .select(F.col("best.key_id").alias("keep_id"), F.col("best.key_text").alias("keep_text"))
     )
-    same = F.col("key_id").eqNullSafe(F.col("keep_id")) & (F.col("key_text") == F.col("keep_text"))
-    left = keyed.join(stored(chosen, "chosen").hint("merge"), same, "left_semi")
-    if not rows.groupBy("key_id", "key_text").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["key_id", "key_text"])  # only repeated rows need this exchange
-    return left.select("row.*")
+    return only(docs, rows, chosen)

@@ -21,6 +21,7 @@ from retailcast.llm import (
     components,
     decontaminate,
     line_dedup,
+    near_copies,
     order_minhash,
     packing,
     pii,
@@ -160,6 +161,25 @@ def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
+def test_near_copies(spark, docs, none):
+    rng = random.Random(9)
+    rows, groups = [], {}
+    for g in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for edits in (0, 3, 5, 40):  # similarity to the first about 1, 0.9, 0.85 and under 0.4
+            copy = list(words)
+            for at in range(edits):
+                copy[at * 300 // max(edits, 1) + 3] = f"x{rng.randrange(10**6)}"
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    kept = {r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i in groups if i % 4 in (0, 3)}
+    out = near_copies.keep_one(docs)
+    assert out.columns == docs.columns and near_copies.keep_one(none).count() == 0
+    ids = [r["doc_id"] for r in out.collect()]
+    assert ids.count(6) == 1 and 2 not in ids and {3, 4, 9} & set(ids) == {3}  # blank texts are one group
+
+
 def test_decontamination(docs, none, benchmark):
     windows = {}
     for item, text in ((r["item_id"], r["text"]) for r in benchmark.collect()):
