@@ -3,8 +3,9 @@
 Two smoothed variable-order Markov models (characters, contexts of up to ``ORDER``) are counted from the
 URLs that rules accept and reject. A URL without a rule is judged by its length-normalised difference
 of log-likelihoods, calibrated by isotonic regression: each half of the rule-judged URLs is scored by
-the counts of the other half. Counts cover all pages; n-grams are hashed into a fixed number of
-buckets, so the models have a bounded size.
+the counts of the other half. Counts cover all pages and are exact: the n-grams are a table that grows with the
+input and never meets in one place. The gain of a character follows from its longest n-gram, so it is computed once
+for each distinct one, and chunks of URLs join the gains they need. Gains are summed as whole numbers, in any order.
 
 Defined cases: a null URL and one without ``://`` have empty host and path and no rule; an empty URL has
 difference 0; without accepted or without rejected URLs the models say nothing and the verdict is allow.
@@ -13,15 +14,16 @@ Repeated rows get equal verdicts. Extra columns are never read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailcast.llm.calibration import CELLS, Isotonic, cell, isotonic
+from retailcast.llm.calibration import CELLS, isotonic
 from retailcast.llm.common import stored
 
 #: fixed values: verdict, host and path of each rule
@@ -34,10 +36,11 @@ RULES = (
 )
 
 ORDER = 5
-BITS = 18
 WEIGHT = 2.0  # pseudo-counts given to the shorter context
 RANGE = (-5.0, 5.0)
 PIECE = 1 << 20  # characters counted or scored together
+SCALE = 1 << 32  # gains are whole multiples of 1 / SCALE
+SIDES = ((0, 0), (0, 1), (1, 0), (1, 1))  # half, class (0 rejected, 1 accepted)
 
 
 def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -59,23 +62,10 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.select("*", rule.alias("rule"), ruled.alias("ruled"))
 
 
-def url_grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Owner of each position, its number in the URL, and bucket of the n-gram that ends there, for n = 1 ..
-    ORDER + 1, -1 where the URL is too short. Number 0 is the opening mark, the last the closing one."""
-    codes = np.frombuffer("".join(f"\x02{u}\x03" for u in urls).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(u) + 2 for u in urls], np.int64)
-    owner = np.repeat(np.arange(len(urls)), sizes)
-    number = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    rolled, grams = codes, []
-    for n in range(1, ORDER + 2):
-        if n > 1:
-            rolled = rolled[:-1] * np.uint32(0x01000193) + codes[n - 1 :]
-        mixed = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1 + 2 * n)
-        bucket = np.full(len(codes), -1, np.int64)
-        bucket[n - 1 :] = mixed >> np.uint32(32 - BITS)
-        bucket[number < n - 1] = -1
-        grams.append(bucket)
-    return owner, number, grams
+def longest_grams(url: str) -> list[str]:
+    """The n-gram that ends at each position after the opening mark, as long as the models look back."""
+    marked = f"\x02{url}\x03"
+    return [marked[max(at - ORDER, 0) : at + 1] for at in range(1, len(marked))]
 
 
 def pieces(urls: list[str]) -> Iterator[slice]:
@@ -90,107 +80,156 @@ def pieces(urls: list[str]) -> Iterator[slice]:
         yield slice(begin, len(urls))
 
 
-@dataclass(frozen=True)
-class MarkovPair:
-    """Counts by class (0 rejected, 1 accepted) and bucket, and the number of characters of each class."""
+def count_grams(urls: DataFrame) -> DataFrame:
+    """``gram`` and its counts ``c00, c01, c10, c11`` (half, class) over all rule-judged rows, one row for each
+    n-gram of 1 to ORDER + 1 characters."""
 
-    counts: np.ndarray
-    characters: np.ndarray
-
-    def difference(self, urls: list[str]) -> np.ndarray:
-        """Log-likelihood under the accepted minus the rejected model, per character."""
-        if not urls:
-            return np.zeros(0)
-        owner, number, grams = url_grams(urls)
-        logs = []
-        for k in (0, 1):
-            count = self.counts[k]
-            p = (count[grams[0]] + 1e-2) / (self.characters[k] + 1e-2 * 256)
-            for n in range(1, ORDER + 1):
-                at = np.flatnonzero(grams[n] >= 0)
-                context = count[grams[n - 1][at - 1]]
-                p[at] = (count[grams[n][at]] + WEIGHT * p[at]) / (np.maximum(context, count[grams[n][at]]) + WEIGHT)
-            logs.append(np.log(p))
-        gain = np.where(number > 0, logs[1] - logs[0], 0)
-        length = np.bincount(owner, number > 0, len(urls))
-        return np.bincount(owner, gain, len(urls)) / np.maximum(length, 1)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (half, label), part in pdf.groupby(["half", "class"]):
+                texts, times = part["url"].tolist(), part["n"].tolist()
+                for run in pieces(texts):
+                    found: Counter[str] = Counter()
+                    for text, n in zip(texts[run], times[run], strict=True):
+                        marked = f"\x02{text}\x03"
+                        for size in range(1, ORDER + 2):
+                            for at in range(len(marked) - size + 1):
+                                found[marked[at : at + size]] += n
+                    out = pd.DataFrame({"gram": list(found), "n": list(found.values())})
+                    yield out.assign(**{"half": half, "class": label})
+
+    judged = urls.where("class is not null").select("url", "n", "half", "class")
+    emitted = judged.mapInPandas(count, "gram string, n long, half int, class int")
+    return emitted.groupBy("gram").agg(
+        *(F.sum(F.when((F.col("half") == h) & (F.col("class") == k), F.col("n")).otherwise(0)).alias(f"c{h}{k}") for h, k in SIDES)
+    )
 
 
-def count_grams(judged: DataFrame) -> DataFrame:
-    """Counts ``class, half, bucket, n`` over all rule-judged URLs; bucket -1 counts characters."""
+def gains(grams: DataFrame, counts: DataFrame, characters: np.ndarray) -> DataFrame:
+    """``gram, g0, g1, whole`` for each longest gram: log-probability of its last character under the accepted minus
+    the rejected model, by the counts of half 1, of half 0 and of both, in units of 1 / SCALE.
+
+    ``characters`` are the characters counted by half and class.
+    """
+    size = F.length("gram")
+    roles = [(f"s{m}", F.when(size >= m, F.substring("gram", -m, m))) for m in range(1, ORDER + 2)]  # suffixes
+    roles += [(f"x{m}", F.when(size >= m, F.expr(f"substring(gram, -{m}, {m - 1})"))) for m in range(2, ORDER + 2)]  # their contexts
+    asked = grams.select(
+        F.col("gram").alias("longest"),
+        F.explode(F.array(*(F.struct(F.lit(r).alias("role"), g.alias("gram")) for r, g in roles))).alias("ask"),
+    ).select("longest", "ask.role", "ask.gram")
+    met = asked.where("gram is not null").join(counts.hint("merge"), "gram", "left")
+    wide = met.groupBy("longest").agg(
+        *(
+            F.sum(F.when(F.col("role") == r, F.coalesce(F.col(f"c{h}{k}"), F.lit(0))).otherwise(0)).cast("double").alias(f"{r}_{h}{k}")
+            for r, _ in roles
+            for h, k in SIDES
+        )
+    )
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for (label, half), part in pdf.groupby(["class", "half"]):
-                urls = part["url"].tolist()
-                for run in pieces(urls):
-                    _, number, grams = url_grams(urls[run])
-                    bucket, n = np.unique(np.concatenate([g[g >= 0] for g in grams]), return_counts=True)
-                    bucket, n = np.append(bucket, -1), np.append(n, (number > 0).sum())
-                    yield pd.DataFrame({"class": label, "half": half, "bucket": bucket, "n": n})
-
-    emitted = judged.mapInPandas(count, "class int, half int, bucket long, n long")
-    return emitted.groupBy("class", "half", "bucket").agg(F.sum("n").alias("n"))
-
-
-@dataclass(frozen=True)
-class UrlModel:
-    pair: MarkovPair
-    calibrate: Isotonic
-    usable: bool
-
-    def score(self, url: Column) -> Column:
-        """Calibrated probability that the URL is accepted."""
-
-        @F.pandas_udf("double")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for urls in batches:
-                urls = urls.tolist()
-                found = [self.pair.difference(urls[run]) for run in pieces(urls)]
-                yield pd.Series(self.calibrate(np.concatenate(found or [np.zeros(0)])))
-
-        return score(url) if self.usable else F.lit(1.0)
-
-
-def fit(ruled: DataFrame) -> UrlModel:
-    """Count and calibrate on the rows with a rule; ``ruled`` comes from ``with_rules``."""
-    judged = stored(
-        ruled.where("ruled is not null").select(
-            (F.col("ruled") == "allow").cast("int").alias("class"), F.pmod(F.xxhash64("url"), F.lit(2)).cast("int").alias("half"), "url"
-        ),
-        "judged",
-    )
-    table = count_grams(judged).toPandas()  # at most 4 * (2 ** BITS + 1) rows
-    counts, characters = np.zeros((2, 2, 1 << BITS)), np.zeros((2, 2))
-    marks = table["bucket"] < 0
-    grams, sums = table[~marks], table[marks]
-    counts[grams["half"], grams["class"], grams["bucket"]] = grams["n"]
-    characters[sums["half"], sums["class"]] = sums["n"]
-    whole = MarkovPair(counts.sum(0), characters.sum(0))
-    halves = [MarkovPair(counts[1 - h], characters[1 - h]) for h in (0, 1)]
-    usable = bool((characters > 0).all())
-
-    def grid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            size = pdf["longest"].str.len().to_numpy()
+            out = {"gram": pdf["longest"]}
+            for name, halves in (("g0", [1]), ("g1", [0]), ("whole", [0, 1])):
+                logs = []
+                for k in (0, 1):
+
+                    def count(role: str, halves=halves, k=k) -> np.ndarray:
+                        return sum(pdf[f"{role}_{h}{k}"].to_numpy() for h in halves)
+
+                    p = (count("s1") + 1e-2) / (characters[halves, k].sum() + 1e-2 * 256)
+                    for m in range(2, ORDER + 2):
+                        here = count(f"s{m}")
+                        longer = (here + WEIGHT * p) / (np.maximum(count(f"x{m}"), here) + WEIGHT)
+                        p = np.where(size >= m, longer, p)
+                    logs.append(np.log(p))
+                out[name] = np.rint((logs[1] - logs[0]) * SCALE).astype(np.int64)
+            yield pd.DataFrame(out)
+
+    return wide.mapInPandas(compare, "gram string, g0 long, g1 long, whole long")
+
+
+def differences(ruled: DataFrame) -> DataFrame | None:
+    """``url, n, half, class, other, whole`` of every distinct URL: its rows, and its log-likelihood under the accepted
+    minus the rejected model for each character, by the counts of the other half and by all counts. None without
+    accepted or without rejected URLs in a half.
+
+    URLs are dealt into chunks of about ``PIECE`` characters; a chunk asks for each of its grams once.
+    """
+    distinct = ruled.groupBy("url").agg(F.count("*").alias("n"), (F.first("ruled") == "allow").cast("int").alias("class"))
+    distinct = distinct.withColumn("half", F.pmod(F.xxhash64("url"), F.lit(2)).cast("int"))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, size = TaskContext.get().partitionId() << 33, 0
         for pdf in batches:
-            for half, part in pdf.groupby("half"):
-                urls, classes = part["url"].tolist(), part["class"].to_numpy()
-                for run in pieces(urls):
-                    place = cell(halves[half].difference(urls[run]), *RANGE)
-                    yield pd.DataFrame({"cell": place, "ones": classes[run], "n": 1}).groupby(
-                        "cell", as_index=False
-                    ).sum()
-
+            numbers = []
+            for url in pdf["url"]:
+                if size and size + len(url) > PIECE:
+                    chunk, size = chunk + 1, 0
+                size += len(url) + 2
+                numbers.append(chunk)
+            yield pdf.assign(chunk=np.array(numbers, np.int64))
+
+    columns = "url string, n long, class int, half int"
+    typed = distinct.select("url", "n", "class", "half")
+    urls = stored(typed.mapInPandas(deal, f"{columns}, chunk long"), "urls")
+    characters = np.zeros((2, 2))
+    sums = urls.where("class is not null").groupBy("half", "class").agg(F.sum((F.length("url") + 1) * F.col("n")).alias("n"))
+    for row in sums.collect():
+        characters[row["half"], row["class"]] = row["n"]
+    if not (characters > 0).all():
+        return None
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for chunk, part in pdf.groupby("chunk"):
+                yield pd.DataFrame({"chunk": chunk, "gram": list({g for url in part["url"] for g in longest_grams(url)})})
+
+    asked = stored(urls.select("chunk", "url").mapInPandas(ask, "chunk long, gram string"), "asked")
+    counts = stored(count_grams(urls), "gram-counts")
+    known = stored(gains(asked.select("gram").distinct(), counts, characters), "gains")
+    answers = asked.join(known.hint("merge"), "gram")
+
+    def add(part: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        gain = dict(zip(answer["gram"], zip(answer["g0"], answer["g1"], answer["whole"], strict=True), strict=True))
+        other, whole = [], []
+        for url, half in zip(part["url"], part["half"], strict=True):
+            found = [gain[g] for g in longest_grams(url)]
+            other.append(sum(int(g[half]) for g in found) / SCALE / len(found))
+            whole.append(sum(int(g[2]) for g in found) / SCALE / len(found))
+        out = part[["url", "n", "half"]].assign(other=other, whole=whole)
+        out["class"] = part["class"].astype("Int64")
+        return out[["url", "n", "class", "half", "other", "whole"]]
+
+    scored = urls.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(add, f"{columns}, other double, whole double")
+    return stored(scored, "differences")
+
+
+def calibrated(found: DataFrame) -> DataFrame:
+    """``url`` and ``score``, the calibrated probability that it is accepted."""
+    place = F.floor((F.col("other") - RANGE[0]) / (RANGE[1] - RANGE[0]) * CELLS)
+    judged = found.where("class is not null").select(F.least(F.greatest(place, F.lit(0)), F.lit(CELLS - 1)).alias("cell"), "class", "n")
+    rows = judged.groupBy("cell").agg(F.sum(F.col("class") * F.col("n")).alias("ones"), F.sum("n").alias("n")).toPandas()
     ones, total = np.zeros(CELLS), np.zeros(CELLS)
-    if usable:
-        cells = judged.mapInPandas(grid, "cell long, ones long, n long").groupBy("cell")
-        rows = cells.agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).toPandas()
-        ones[rows["cell"]], total[rows["cell"]] = rows["ones"], rows["n"]
-    return UrlModel(whole, isotonic(ones, total, *RANGE), usable)
+    ones[rows["cell"].astype(int)], total[rows["cell"].astype(int)] = rows["ones"], rows["n"]
+    calibrate = isotonic(ones, total, *RANGE)
+
+    @F.pandas_udf("double")
+    def score(difference: pd.Series) -> pd.Series:
+        return pd.Series(calibrate(difference.to_numpy()))
+
+    return found.select(F.col("url").alias("scored_url"), score("whole").alias("score"))
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and score (probability of acceptance) of every page."""
     ruled = with_rules(pages.select("page_id", "url"), rules)
-    scored = ruled.select("*", fit(ruled).score(F.col("url")).alias("score"))
+    found = differences(ruled)
+    if found is None:
+        scored = ruled.withColumn("score", F.lit(1.0))
+    else:
+        known = stored(calibrated(found), "url-scores")
+        scored = ruled.join(known.hint("merge"), ruled["url"] == known["scored_url"], "left")
     by_model = F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")

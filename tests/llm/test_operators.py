@@ -332,6 +332,27 @@ def test_url_model_separates(spark):
     assert min(got[600], got[601]) > max(got[602], got[603])
 
 
+def test_url_counts_are_exact(spark):
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    allowed = [f"http://www.example.com/en/{''.join(rng.choices(letters, k=400))}" for _ in range(150)]
+    blocked = [f"http://b{i}.net/es/{''.join(rng.choices(letters, k=400))}" for i in range(150)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(allowed + blocked + allowed[:1])], "page_id long, url string")
+    ruled = url_filter.with_rules(pages)
+    expected = Counter()
+    for row in ruled.collect():
+        marked = f"\x02{row['url']}\x03"
+        for n in range(1, url_filter.ORDER + 2):
+            for at in range(len(marked) - n + 1):
+                expected[(marked[at : at + n], row["ruled"] == "allow")] += 1
+    urls = ruled.groupBy("url").agg(F.count("*").alias("n"), F.first(F.col("ruled") == "allow").cast("int").alias("class"))
+    got = {}
+    for r in url_filter.count_grams(urls.withColumn("half", F.lit(1))).collect():
+        assert r["c00"] == r["c01"] == 0 and (r["gram"], True) not in got
+        got |= {(r["gram"], k): n for k, n in ((False, r["c10"]), (True, r["c11"])) if n}
+    assert len(got) > 1 << 18 and got == expected
+
+
 def test_packing(spark, none):
     rng = random.Random(2)
     rows = [(i, f"s{rng.randrange(6)}" if i % 7 else None, rng.randrange(40), rng.randrange(0, 250)) for i in range(600)]
