@@ -393,8 +393,6 @@ def stored_models(spark, sf):
 
 # ---- boosted trees
 
-SMALL_BOOST = boosted.BoostedConfig(n_estimators=5, max_depth=4)
-
 
 def boosted_frame(spark, sf):
     merged = b.dense_sales(spark, sf)
@@ -404,12 +402,12 @@ def boosted_frame(spark, sf):
 @register("m7_m8_boosted_predictions", "date d, store_nbr i, family s, prediction f4")
 def boosted_predictions(spark, sf):
     frame = boosted_frame(spark, sf)
-    return boosted.fit_boosted(frame, cfg=SMALL_BOOST).predict(frame)
+    return boosted.fit_boosted(frame).predict(frame)
 
 
 @register("m6_l2_top_features", "feature s, importance f4")
 def top_features(spark, sf):
-    return boosted.fit_boosted(boosted_frame(spark, sf), cfg=SMALL_BOOST).top_features(10)
+    return boosted.fit_boosted(boosted_frame(spark, sf)).top_features(10)
 
 
 # ---- sequence forecaster

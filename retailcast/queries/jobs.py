@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from retailcast.config import JobConfig
-from retailcast.models.boosted import BoostedConfig
 from retailcast.operators.backtest import window_metrics
 from retailcast.plans import bindings as b
 from retailcast.plans import jobs
@@ -22,8 +21,7 @@ def _config(spark, sf, **more):
 
 @register("m18_train_job", "type s, version s, n_metrics i")
 def train_job(spark, sf):
-    boost = BoostedConfig(n_estimators=3, max_depth=3)
-    registry = jobs.train(spark, _config(spark, sf), scratch_path(spark, "models"), boost=boost)
+    registry = jobs.train(spark, _config(spark, sf), scratch_path(spark, "models"))
     return registry.latest().withColumn("n_metrics", F.size("metrics"))
 
 

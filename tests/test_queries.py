@@ -6,6 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from retailcast.models.boosted import BoostedConfig
+from retailcast.queries import evaluation
+from retailcast.queries import jobs as job_queries
 
 SAMPLE = (
     "p9_series_split",
@@ -50,3 +53,36 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.FLAGSHIP in entry.queries()
+
+
+def test_boosted_queries_use_the_default_config(monkeypatch):
+    seen = []
+
+    class Model:
+        def predict(self, frame):
+            return seen.append("predict")
+
+        def top_features(self, n):
+            return seen.append("top")
+
+    def fit(frame, cfg=BoostedConfig()):
+        assert cfg == BoostedConfig()
+        return Model()
+
+    class Trained(Exception):
+        pass
+
+    def train(spark, config, path, boost=BoostedConfig(), **more):
+        assert boost == BoostedConfig()
+        raise Trained
+
+    monkeypatch.setattr(evaluation, "boosted_frame", lambda spark, sf: None)
+    monkeypatch.setattr(evaluation.boosted, "fit_boosted", fit)
+    monkeypatch.setattr(job_queries, "_config", lambda spark, sf: None)
+    monkeypatch.setattr(job_queries, "scratch_path", lambda spark, label: label)
+    monkeypatch.setattr(job_queries.jobs, "train", train)
+    evaluation.boosted_predictions(None, "")
+    evaluation.top_features(None, "")
+    with pytest.raises(Trained):
+        job_queries.train_job(None, "")
+    assert seen == ["predict", "top"]
