@@ -7,16 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from retailcast.llm import (
     decontaminate,
+    filter_audit,
     line_dedup,
     order_minhash,
     packing,
     pii,
+    prefix_join,
     quality,
     simhash,
     sql,
     token_files,
     toxicity,
     url_filter,
+    whitening,
 )
 from retailcast.llm.common import table
 
@@ -67,6 +70,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.pattern_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(counts)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +96,13 @@ QUERIES = {
         op8_url_filter,
         op9_packing,
         op10_pii,
+        op11_whitening,
+        op12_prefix_join,
+        op13_filter_audit,
     )
 }
-ORACLES = {"op3_decontaminate": sql.DECONTAMINATE, "op7_line_dedup": sql.LINE_DEDUP}
+ORACLES = {
+    "op3_decontaminate": sql.DECONTAMINATE,
+    "op7_line_dedup": sql.LINE_DEDUP,
+    "op13_filter_audit": sql.FILTER_AUDIT,
+}

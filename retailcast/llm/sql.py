@@ -58,3 +58,55 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS
        COALESCE(n_hit, 0) > 0 AS contaminated
 FROM words AS d LEFT JOIN covered AS c ON c.doc_id = d.doc_id LEFT JOIN named AS n ON n.doc_id = d.doc_id
 """
+
+FILTER_AUDIT = r"""
+WITH texts AS (
+  SELECT doc_id, COALESCE(source, '') AS part, COALESCE(text, '') AS t FROM documents),
+worded AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         MIN(doc_id) OVER (PARTITION BY t) AS original
+  FROM texts),
+failing AS (
+  SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, COALESCE(doc_id > original, false) AS e
+  FROM worded),
+marks AS (
+  SELECT doc_id, MAX(quality) FILTER (WHERE quality IN (0, 1)) AS quality, MAX(toxic) FILTER (WHERE toxic IN (0, 1)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+rated AS (
+  SELECT f.*, COALESCE(quality, 0) AS good, COALESCE(toxic, 0) AS bad,
+         CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) + CAST(e AS INT) AS n_failed
+  FROM failing AS f LEFT JOIN marks AS m ON m.doc_id = f.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT v.f || w.f || x.f || y.f || z.f AS filter_order
+  FROM letters v, letters w, letters x, letters y, letters z
+  WHERE v.f NOT IN (w.f, x.f, y.f, z.f) AND w.f NOT IN (x.f, y.f, z.f) AND x.f NOT IN (y.f, z.f) AND y.f <> z.f),
+kinds AS (
+  SELECT part, a, b, c, d, e, n_failed, COUNT(*) AS n, SUM(good) AS good, SUM(bad) AS bad
+  FROM rated GROUP BY ALL),
+steps AS (
+  SELECT filter_order, s.step, substr(filter_order, s.step, 1) AS f, substr(filter_order, 1, s.step - 1) AS earlier
+  FROM orders, generate_series(1, 5) AS s(step)),
+judged AS (
+  SELECT k.part, s.filter_order, s.step, s.f, k.n, k.good, k.bad, k.n_failed,
+         (s.f = 'A' AND a) OR (s.f = 'B' AND b) OR (s.f = 'C' AND c) OR (s.f = 'D' AND d) OR (s.f = 'E' AND e) AS fails,
+         (contains(earlier, 'A') AND a) OR (contains(earlier, 'B') AND b) OR (contains(earlier, 'C') AND c)
+           OR (contains(earlier, 'D') AND d) OR (contains(earlier, 'E') AND e) AS gone
+  FROM kinds AS k, steps AS s),
+summed AS (
+  SELECT part, filter_order, step, f,
+         COALESCE(SUM(n) FILTER (WHERE NOT gone AND NOT fails), 0) AS kept,
+         COALESCE(SUM(n) FILTER (WHERE NOT gone AND fails), 0) AS removed,
+         COALESCE(SUM(n) FILTER (WHERE gone AND fails), 0) AS redundant,
+         COALESCE(SUM(n) FILTER (WHERE fails AND n_failed = 1), 0) AS unique_fails,
+         COALESCE(SUM(good) FILTER (WHERE NOT gone AND fails), 0) AS good_lost,
+         COALESCE(SUM(bad) FILTER (WHERE NOT gone AND fails), 0) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(SUM(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed
+"""
