@@ -7,8 +7,11 @@ N-grams are kept by their likelihood-ratio statistic, so the regression has a fi
 Labels come from rows outside fold 0. The classifier is fitted on a sample bounded by ``max_train``
 labelled rows, drawn by a hash of the id; every document is scored on its whole text.
 
+Memory does not grow with a batch of texts: words are held for runs of a bounded number of characters, also inside a long
+text, which is scored whole, and a task remembers a bounded number of words.
+
 Defined cases: a null text counts as empty; an empty text has no n-gram and gets the base score;
-repeated rows get equal scores; without labelled rows of both classes every score is the (smoothed)
+repeated rows get equal scores, n-grams of equal gain are chosen by bucket; very long texts are read in runs; without labelled rows of both classes every score is the (smoothed)
 share of toxic labels, 0 without any label. Extra columns of the input are never read.
 """
 
@@ -30,13 +33,33 @@ from retailcast.llm.common import fold, labelled, partition_sums, stored
 BITS = 20
 LENGTHS = (4, 5, 6)
 PIECE = 1 << 20  # characters hashed together
-KNOWN = 300_000  # words whose features a task remembers
+KNOWN = 100_000  # words whose features a task remembers
+READ = 1 << 18  # characters whose words are held together
 
 
 def word_set(text: str | None) -> set[str]:
     return set(text.lower().split()) if text else set()
 
 
+def runs_of(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """Texts with their numbers, in runs of about ``READ`` characters; a longer text is cut at blanks into several runs."""
+    run, size = [], 0
+    for i, text in enumerate(texts):
+        text, at = text or "", 0
+        while len(text) - at > READ:
+            to = at + READ
+            while to < len(text) and not text[to].isspace():
+                to += 1
+            yield [(i, text[at:to])]
+            at = to
+        if size + len(text) - at > READ:
+            yield run
+            run, size = [], 0
+        run.append((i, text[at:]))
+        size += len(text) - at
+    yield run
+
+
 def pieces(words: list[str]) -> Iterator[list[str]]:
     """Runs of words of about ``PIECE`` characters."""
     run, size = [], 0
@@ -74,18 +97,26 @@ class Features:
         self.place, self.known = place, {}
 
     def of(self, texts: list[str | None]) -> list[set[int]]:
-        sets = [word_set(t) for t in texts]
-        new = sorted({w for s in sets for w in s if w not in self.known})
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-            new = sorted({w for s in sets for w in s})
-        self.known.update(dict.fromkeys(new, ()))
-        for run in pieces(new):
+        found: list[set[int]] = [set() for _ in texts]
+        for run in runs_of(texts):
+            sets = [word_set(t) for _, t in run]
+            new = {w for s in sets for w in s if w not in self.known}
+            if len(self.known) + len(new) > KNOWN:
+                self.known.clear()
+                new = {w for s in sets for w in s}
+            self.learn(sorted(new))
+            for (i, _), words in zip(run, sets, strict=True):
+                for w in words:
+                    found[i].update(self.known[w])
+        return found
+
+    def learn(self, words: list[str]) -> None:
+        self.known.update(dict.fromkeys(words, ()))
+        for run in pieces(words):
             owner, bucket = ngrams(run)
             at = self.place[bucket]
             for i, f in zip(owner[at >= 0].tolist(), at[at >= 0].tolist(), strict=True):
                 self.known[run[i]] += (f,)
-        return [{f for w in s for f in self.known[w]} for s in sets]
 
 
 @dataclass(frozen=True)
