@@ -8,10 +8,12 @@ content. Of each repeated chunk the first occurrence stays (smallest id, nulls l
 smallest text hash, then position); the lines of all others are removed.
 
 The chunks are the contract of the query (``report``, see its SQL). A start depends on three lines, so they
-miss passages of few lines between other neighbours. The stage (``deduplicate``) therefore takes passages
-that depend on no neighbour: every two neighbouring lines, overlapping, and every line over ``LONG_LINE``
-words, compared by SHA-256. A repeated run of any two lines or more is removed whole, wherever it
-stands; the first occurrence of every line stays. A shorter line that is repeated alone stays.
+miss passages of few lines between other neighbours. The stage (``deduplicate``) therefore takes chunks whose ends are
+anchored at their own edges: the window of a rolling hash over the hashes of every two neighbouring lines, and every line
+over ``LONG_LINE`` words. Windows whose rolling hash is repeated anywhere are compared byte by byte; runs of repeated windows that overlap
+make up a chunk, so its boundaries follow from content alone and no insertion beside it moves them. A repeated run of
+two lines or more is removed whole, wherever it stands; the first occurrence of every line stays. A shorter line
+that is repeated alone stays.
 
 Hashes alone are counted over the whole corpus; content travels only for chunks with a repeated hash.
 
@@ -101,36 +103,42 @@ def passages_of(lines: Column, least_words: int = LONG_LINE) -> Column:
 
 
 def _passage(lines: Column, passage: Column) -> Column:
-    """Digest of the first and the last line; a passage of one line has one."""
+    """First and last line of a passage, whole; a passage of one line has one."""
     first, size = _first(passage), _size(passage)
-    both = F.concat_ws("\n", F.get(lines, first), F.when(size > 1, F.get(lines, first + size - 1)))
-    return F.unhex(F.sha2(both.cast("binary"), 256))
+    return F.concat_ws("\n", F.get(lines, first), F.when(size > 1, F.get(lines, first + size - 1)))
 
 
-def _repeated(docs: DataFrame, units, content) -> DataFrame:
+def _rolled(hashes: Column, passage: Column) -> Column:
+    """Rolling hash of a passage over the hashes of its first and last line."""
+    first, size = _first(passage), _size(passage)
+    return F.xxhash64(F.get(hashes, first), F.when(size > 1, F.get(hashes, first + size - 1)))
+
+
+def _repeated(docs: DataFrame, units, content, rolled=None) -> DataFrame:
     """key_id, key_text and chunk of every occurrence that is to be removed, of the packed chunks ``units(lines)``
-    compared by ``content(lines, chunk)``."""
+    compared byte by byte by ``content(lines, chunk)``. Chunks are counted by ``rolled(line hashes, chunk)``, or by the hash
+    of their content."""
     keyed = docs.select(F.col("doc_id").alias("key_id"), F.xxhash64("text").alias("key_text"), "text").where("text is not null")
 
     def multi(make) -> Column:
-        """``make(lines, chunk)`` for the chunks."""
-        return bind(F.split("text", "\n", -1), lambda lines: F.transform(units(lines), lambda c: make(lines, c)))
+        """``make(content, hash, chunk)`` for the chunks."""
+
+        def made(lines: Column) -> Column:
+            if rolled is None:
+                return F.transform(units(lines), lambda c: bind(content(lines, c), lambda body: make(body, F.xxhash64(body), c)))
+            hashes = F.transform(lines, lambda x: F.xxhash64(x))
+            return bind(hashes, lambda h: F.transform(units(lines), lambda c: make(content(lines, c), rolled(h, c), c)))
 
-    def hash_of(lines: Column, c: Column) -> Column:
-        return F.xxhash64(content(lines, c))
+        return bind(F.split("text", "\n", -1), made)
 
     # outer forms: the optimizer derives no filter that would compute the chunks once more
-    hashed = keyed.select(F.explode_outer(multi(hash_of)).alias("hash")).where("hash is not null")
+    hashed = keyed.select(F.explode_outer(multi(lambda body, h, c: h)).alias("hash")).where("hash is not null")
     twice = stored(hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "chunk-hashes")
     occurrences = keyed.select(
         "key_id",
         "key_text",
         F.inline_outer(
-            multi(
-                lambda lines, c: bind(
-                    content(lines, c), lambda body: F.struct(c.alias("chunk"), body.alias("body"), F.xxhash64(body).alias("hash"))
-                )
-            )
+            multi(lambda body, h, c: F.struct(c.alias("chunk"), body.alias("body"), h.alias("hash")))
         ),
     ).where("hash is not null")
     again = stored(occurrences.join(twice.hint("merge"), "hash", "left_semi"), "chunks")  # grows, never broadcast
@@ -151,7 +159,7 @@ def repeated_chunks(docs: DataFrame, span: int = 2) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, least_words: int = LONG_LINE) -> DataFrame:
     """key_id, key_text and chunk of every later occurrence of a passage."""
-    return _repeated(docs, lambda lines: passages_of(lines, least_words), _passage)
+    return _repeated(docs, lambda lines: passages_of(lines, least_words), _passage, _rolled)
 
 
 def _joined(docs: DataFrame, repeated: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ from retailcast.llm import (
     components,
     decontaminate,
     line_dedup,
-    near_copies,
     order_minhash,
     packing,
     pii,
@@ -100,6 +99,34 @@ def test_held_out_order(spark, part, column, least):
     assert (rank[y == 1].sum() - ones * (ones + 1) / 2) / (ones * zeros) > least
 
 
+def test_toxicity_reads_whole_texts_in_runs(spark, monkeypatch):
+    """Scores equal a plain sum over the n-grams of all words, however small the runs and the memory of words."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["Bad", "worse", "hüte", "x", "good-ish", "awfully"]) + str(rng.randrange(50)) for _ in range(n)) for n in (0, 1, 3, 400, 400)]
+    texts += [None, "  ", texts[3] + "\n\u2003" + texts[4]]
+    place = np.full(1 << toxicity.BITS, -1, np.int32)
+    chosen = np.unique(np.concatenate([toxicity.ngrams([w])[1] for w in toxicity.word_set(texts[4])])[::3])
+    place[chosen] = np.arange(len(chosen))
+    model = toxicity.ToxicityModel(place, np.linspace(-1, 1, len(chosen)), 0.25)
+    want = []
+    for t in texts:
+        found = {b for w in (t or "").lower().split() for b in toxicity.ngrams([w])[1].tolist() if place[b] >= 0}
+        want.append(1 / (1 + np.exp(-(0.25 + sum(model.weights[place[b]] for b in found)))))
+    monkeypatch.setattr(toxicity, "READ", 300)
+    monkeypatch.setattr(toxicity, "KNOWN", 40)
+    features = toxicity.Features(place)
+    got = [0.25 + model.weights[sorted(f)].sum() for f in features.of(texts)]
+    assert np.allclose(1 / (1 + np.exp(-np.array(got))), want)
+    whole = [""] * len(texts)
+    for run in toxicity.runs_of(texts):
+        for i, part in run:
+            whole[i] += part
+    assert whole == [t or "" for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scored = toxicity.score_documents(rows, model).orderBy("doc_id").collect()
+    assert np.allclose([r["score"] for r in scored], want)
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     total = rng.integers(0, 5, calibration.CELLS).astype(float)
@@ -161,25 +188,6 @@ def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def test_near_copies(spark, docs, none):
-    rng = random.Random(9)
-    rows, groups = [], {}
-    for g in range(12):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
-        for edits in (0, 3, 5, 40):  # similarity to the first about 1, 0.9, 0.85 and under 0.4
-            copy = list(words)
-            for at in range(edits):
-                copy[at * 300 // max(edits, 1) + 3] = f"x{rng.randrange(10**6)}"
-            groups[len(rows)] = g
-            rows.append((len(rows), " ".join(copy)))
-    kept = {r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept == {i for i in groups if i % 4 in (0, 3)}
-    out = near_copies.keep_one(docs)
-    assert out.columns == docs.columns and near_copies.keep_one(none).count() == 0
-    ids = [r["doc_id"] for r in out.collect()]
-    assert ids.count(6) == 1 and 2 not in ids and {3, 4, 9} & set(ids) == {3}  # blank texts are one group
-
-
 def test_decontamination(docs, none, benchmark):
     windows = {}
     for item, text in ((r["item_id"], r["text"]) for r in benchmark.collect()):
@@ -230,7 +238,7 @@ def test_order_minhash(docs, none):
 def test_order_matters_in_a_signature(spark):
     words = [f"w{i}" for i in range(400)]
     moved = words[200:] + words[:200]
-    df = spark.createDataFrame([(" ".join(words), " ".join(moved), " ".join(sorted(words, key=hash)))], "a string, b string, c string")
+    df = spark.createDataFrame([(" ".join(words), " ".join(moved), " ".join(random.Random(3).sample(words, len(words))))], "a string, b string, c string")
     for c in "abc":
         df = order_minhash.with_signature(df, c, f"s{c}")
     near = df.select(order_minhash.likeness(F.col("sa"), F.col("sb")), order_minhash.likeness(F.col("sa"), F.col("sc"))).first()
@@ -476,3 +484,12 @@ def test_pipeline_stages(spark, sf_dir):
     assert first.columns == docs.columns and 0 < first.count() <= docs.count()
     out = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert out["doc_id"].is_unique and 0 < len(out) <= docs.count()
+
+
+def test_near_duplicate_stage_is_op2(spark, sf_dir):
+    """The stage keeps the smallest id of each component of the query, rows as they were."""
+    docs = table(spark, sf_dir, "documents")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    want = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want) and len(want) < docs.count()
