@@ -1,7 +1,7 @@
 """Similarity join on word n-grams (Jaccard) by a grouped prefix join.
 
 A document is the set of its distinct shingles. In a common order of all shingles, two sets can only be similar if they share
-one of the first few, their prefixes. Shingles are ordered by the count of their rarest word, then by hash: a shingle occurs
+one of the first few, their prefixes. Shingles are ordered by the count of their rarest word (on a logarithmic scale), then by hash: a shingle occurs
 at most as often as its rarest word, so prefixes hold rare ones, and only the counts of frequent words have to be known.
 A word is frequent if it makes up more than ``1 / FREQUENT`` of all words, so there are fewer than ``FREQUENT`` of them at any size.
 
@@ -16,8 +16,8 @@ most promising partner, in the second its most promising partner in every other
 and the third emits all pairs that still lie between components. Pairs inside a component need no test, so no link between
 components is lost.
 
-Shingles are compared by 64-bit hashes (set sizes are exact); two of a pair's own shingles collide with a probability of about
-their number squared over 2^64.
+Shingles are told apart by 64-bit hashes; two of a pair's own shingles collide with a probability of about their number
+squared over 2^64.
 
 Defined cases: null texts and texts without words have no set and link with nothing, each is its own component (a null id stays
 null); texts with fewer words than a shingle are one shingle; repeated rows and equal texts share a component; a row without an id
@@ -66,31 +66,19 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of a whole text as rows of word numbers, the word hashes, and the hashes of the shingles.
-
-    Rows are unique by the words themselves, so their number is exact.
-    """
+    """Distinct shingles of a whole text as rows of word numbers, the word hashes, and the shingles' hashes, sorted."""
     ids: dict[bytes, int] = {}
     runs = [np.array([ids.setdefault(w, len(ids)) for w in run], np.int32) for run in words_of(text)]
     codes = np.concatenate(runs or [np.zeros(0, np.int32)])
     hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in ids], np.uint64)
     if not len(codes):
         return np.zeros((0, width), np.int32), hashes, np.zeros(0, np.uint64)
-    if len(codes) < width:
-        rows = codes[None, :]
-    else:
-        key, span = np.zeros(len(codes) - width + 1, np.int64), 1
-        for k in range(width):
-            if span > (1 << 62) // len(ids):  # renumber, so that keys stay whole
-                values, key = np.unique(key, return_inverse=True)
-                span = len(values)
-            key, span = key * len(ids) + codes[k : len(codes) - width + 1 + k], span * len(ids)
-        first = np.unique(key, return_index=True)[1]
-        rows = codes[first[:, None] + np.arange(width)]
-    mixed = np.full(len(rows), rows.shape[1], np.uint64)
-    for k in range(rows.shape[1]):
-        mixed = _mixed(mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[rows[:, k]])
-    return rows, hashes, mixed
+    width = min(width, len(codes))
+    mixed = np.full(len(codes) - width + 1, width, np.uint64)
+    for k in range(width):
+        mixed = _mixed(mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[codes[k : len(codes) - width + 1 + k]])
+    mixed, first = np.unique(mixed, return_index=True)
+    return codes[first[:, None] + np.arange(width)], hashes, mixed
 
 
 def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +127,10 @@ def described(text: Column, words: tuple[np.ndarray, np.ndarray], width: int, pe
         at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
         rate = np.where(known[at] == hashes, counts[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
         size = n - -(-percent * n // 100) + 1
-        prefix = mixed[np.lexsort((mixed, rate[rows].min(1)))[:size]]
+        level = (16 * np.log2(1 + rate)).astype(np.uint16)[rows].min(1)
+        prefix = mixed[np.argsort(level, kind="stable")[:size]]  # by hash inside a level
         bits = np.bincount((mixed & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
-        return n, *digest(np.sort(mixed)), *digest(prefix), prefix.view(np.int64), np.packbits(bits.astype(np.uint8)).tobytes()
+        return n, *digest(mixed), *digest(prefix), prefix.view(np.int64), np.packbits(bits.astype(np.uint8)).tobytes()
 
     names = ["n", "hi", "lo", "phi", "plo", "prefix", "bits"]
 
