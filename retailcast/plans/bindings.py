@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retailcast.operators.joins import merge_sources
 from retailcast.operators.panel import densify
 
 # fixed yearly holidays: month, day, type, description
@@ -85,6 +86,12 @@ def dense_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify(sales(spark, sf_dir), fill="zero", span="global")
 
 
+def merged_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense panel with promotions, store, oil price and transactions."""
+    lookups = stores(spark, sf_dir), oil(spark, sf_dir), transactions(spark, sf_dir)
+    return merge_sources(dense_sales(spark, sf_dir), *lookups)
+
+
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(
         F.col("r_regionkey").alias("store_nbr"), F.col("r_name").alias("city")

@@ -13,6 +13,7 @@ from retailcast.config import JobConfig
 from retailcast.models.additive import backtest_model, fit_additive, predict_additive
 from retailcast.models.boosted import BoostedConfig, fit_boosted
 from retailcast.models.sequence import SequenceConfig, fit_sequence
+from retailcast.models.series_boosted import SeriesBoosters, fit_series_boosters
 from retailcast.operators.anomaly import anomaly_records, detect_anomalies, handle_anomalies
 from retailcast.operators.backtest import (
     Model,
@@ -79,13 +80,17 @@ def train(
     version: str = "1",
     stores: Sequence[int] | None = None,
     boost: BoostedConfig = BoostedConfig(),
+    boost_scope: str = "series",
 ) -> ModelRegistry:
     """Fit and save the chosen forecasters over all series and register what was saved.
 
-    The horizon is the first configured one. A forecaster with nothing to fit is skipped.
+    The horizon is the first configured one. A forecaster with nothing to fit is skipped. Boosted trees are fitted for
+    every series, or with ``boost_scope="pooled"`` once for all of them.
     """
     if models not in MODEL_CHOICES:
         raise ValueError(f"unknown models: {models}")
+    if boost_scope not in ("series", "pooled"):
+        raise ValueError(f"unknown scope: {boost_scope}")
     tables = load_store_sales_data(spark, cfg.raw_path)
     registry = ModelRegistry(spark, f"{model_path}/registry")
     horizon = cfg.horizons[0]
@@ -96,6 +101,14 @@ def train(
         fitted = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.avg("sigma").alias("s")).first()
         registry.register("additive", version, {"series": fitted["n"], "sigma": fitted["s"] or 0.0}, path)
     if models in ("all", "boosted"):
+        path = f"{model_path}/boosted/{version}"
+        if boost_scope == "series":
+            fit_series_boosters(features, min_rows=cfg.min_series_rows, cfg=boost).save(path)
+            kept = SeriesBoosters.load(path).rounds().where("best")
+            fitted = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("round").alias("trees"), F.avg("valid_rmse").alias("rmse")).first()
+            if fitted["n"]:
+                registry.register("boosted", version, {"series": fitted["n"], "trees": fitted["trees"], "rmse": fitted["rmse"]}, path)
+    if models in ("all", "boosted") and boost_scope == "pooled":
         path = f"{model_path}/boosted/{version}"
         model = fit_boosted(features, min_rows=cfg.min_series_rows, cfg=boost)
         if model is not None:
@@ -223,10 +236,11 @@ def forecast(
     holidays: DataFrame | None = None,
     weights: Mapping[str, float] | None = None,
     keys: Sequence[str] = KEYS,
+    boost: BoostedConfig = BoostedConfig(),
 ) -> DataFrame:
-    """The next days of every series: additive and sequence forecasts and their weighted mean.
+    """The next days of every series: additive, sequence and boosted forecasts and their weighted mean.
 
-    The horizon is the first configured one; rows are (keys, date, yhat, lower, upper).
+    The horizon is the first configured one; rows are (keys, date, yhat, lower, upper). Boosted trees roll forward day by day.
     """
     horizon, path = cfg.horizons[0], scratch_path(spark, "additive")
     fit_additive(panel, keys, holidays=holidays).write.parquet(path)
@@ -236,4 +250,9 @@ def forecast(
     if model is not None:
         sequence = model.predict(panel).select(*keys, "date", F.lit("sequence").alias("model"), "yhat")
         parts = parts.unionByName(sequence)
+    path = scratch_path(spark, "features")
+    engineer_all_features(panel, holidays, keys=keys).write.parquet(path)
+    boosters = fit_series_boosters(spark.read.parquet(path), keys=keys, min_rows=cfg.min_series_rows, cfg=boost)
+    ahead = boosters.roll_forward(panel, horizon, holidays)
+    parts = parts.unionByName(ahead.select(*keys, "date", F.lit("boosted").alias("model"), "yhat"))
     return ensemble_predict(parts, weights or equal_weights(), keys)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retailcast.models import additive, boosted, sequence
+from retailcast.models import additive, sequence, series_boosted
 from retailcast.operators import backtest, ensemble, features, panel
 from retailcast.operators.registry import ModelRegistry
 from retailcast.plans import bindings as b
@@ -395,19 +395,32 @@ def stored_models(spark, sf):
 
 
 def boosted_frame(spark, sf):
-    merged = b.dense_sales(spark, sf)
-    return features.add_temporal_features(features.add_series_features(merged, lags=(7, 14, 28)))
+    """All engineered features, written once: fitting and scoring both read them."""
+    path = scratch_path(spark, "features")
+    features.engineer_all_features(b.merged_sales(spark, sf), b.holidays(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("m7_m8_boosted_predictions", "date d, store_nbr i, family s, prediction f4")
 def boosted_predictions(spark, sf):
     frame = boosted_frame(spark, sf)
-    return boosted.fit_boosted(frame).predict(frame)
+    return series_boosted.fit_series_boosters(frame).predict(frame)
 
 
 @register("m6_l2_top_features", "feature s, importance f4")
 def top_features(spark, sf):
-    return boosted.fit_boosted(boosted_frame(spark, sf)).top_features(10)
+    return series_boosted.fit_series_boosters(boosted_frame(spark, sf)).top_features(10)
+
+
+@register("m5_boosting_rounds", "store_nbr i, family s, round i, train_rmse f4, valid_rmse f4, best b")
+def boosting_rounds(spark, sf):
+    return series_boosted.fit_series_boosters(boosted_frame(spark, sf)).rounds()
+
+
+@register("m8_future_days", "store_nbr i, family s, date d, yhat f4")
+def future_days(spark, sf):
+    panel = b.merged_sales(spark, sf)
+    return series_boosted.fit_series_boosters(boosted_frame(spark, sf)).roll_forward(panel, 28, b.holidays(spark, sf))
 
 
 # ---- sequence forecaster

@@ -55,34 +55,10 @@ def test_every_sql_has_a_query():
     assert entry.FLAGSHIP in entry.queries()
 
 
-def test_boosted_queries_use_the_default_config(monkeypatch):
-    seen = []
-
-    class Model:
-        def predict(self, frame):
-            return seen.append("predict")
-
-        def top_features(self, n):
-            return seen.append("top")
-
-    def fit(frame, cfg=BoostedConfig()):
-        assert cfg == BoostedConfig()
-        return Model()
-
-    class Trained(Exception):
-        pass
-
-    def train(spark, config, path, boost=BoostedConfig(), **more):
-        assert boost == BoostedConfig()
-        raise Trained
-
-    monkeypatch.setattr(evaluation, "boosted_frame", lambda spark, sf: None)
-    monkeypatch.setattr(evaluation.boosted, "fit_boosted", fit)
-    monkeypatch.setattr(job_queries, "_config", lambda spark, sf: None)
-    monkeypatch.setattr(job_queries, "scratch_path", lambda spark, label: label)
-    monkeypatch.setattr(job_queries.jobs, "train", train)
-    evaluation.boosted_predictions(None, "")
-    evaluation.top_features(None, "")
-    with pytest.raises(Trained):
-        job_queries.train_job(None, "")
-    assert seen == ["predict", "top"]
+def test_boosting_rounds_follow_patience(spark, sf_dir):
+    """Every series runs to 50 rounds past its best one, which has the lowest validation error."""
+    rows = entry.queries()["m5_boosting_rounds"](spark, sf_dir).toPandas()
+    for _, part in rows.groupby(["store_nbr", "family"]):
+        best = part[part["best"]]
+        assert len(best) == 1 and part["round"].max() in (best["round"].iloc[0] + 50, 1000)
+        assert best["valid_rmse"].iloc[0] == pytest.approx(part["valid_rmse"].min(), abs=1e-3)
