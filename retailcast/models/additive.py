@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retailcast import DATE, KEYS, TARGET
+from retailcast.config import BacktestConfig
 from retailcast.operators.joins import join_per_date, lookup_join
 from retailcast.operators.panel import require_daily_grain, spread
 
@@ -109,6 +110,35 @@ def _design(pdf, start, t_scale, changepoints, names, centers, spreads, regresso
     return np.column_stack([np.ones(len(t)), t, hinges, _basis(pdf["ds"], cfg), labels, extra])
 
 
+def priors(n_cp: int, n_labels: int, n_regressors: int, cfg: AdditiveConfig) -> np.ndarray:
+    """Prior scale of every column of the design."""
+    n_waves = 2 * (cfg.yearly_order + cfg.weekly_order + cfg.daily_order)
+    return np.concatenate(
+        [
+            [5.0, 5.0],
+            np.full(n_cp, cfg.changepoint_prior_scale),
+            np.full(n_waves, cfg.seasonality_prior_scale),
+            np.full(n_labels, cfg.holidays_prior_scale),
+            np.full(n_regressors, cfg.seasonality_prior_scale),
+        ]
+    )
+
+
+def reweighted(
+    gram: np.ndarray, cross: np.ndarray, square: float, n: int, prior: np.ndarray, n_cp: int, cfg: AdditiveConfig
+) -> tuple[np.ndarray, float]:
+    """Coefficients and residual variance from the sums of products of ``n`` rows; the ``n_cp`` slope changes are sparse."""
+    sigma2, change = 0.25, slice(2, 2 + n_cp)
+    inverse = 1.0 / prior**2
+    beta = np.zeros(len(prior))
+    for _ in range(cfg.sweeps):
+        beta = np.linalg.solve(gram + sigma2 * np.diag(inverse) + 1e-9 * np.eye(len(beta)), cross)
+        residual = square - 2 * beta @ cross + beta @ gram @ beta
+        sigma2 = max(residual / n, 1e-8)
+        inverse[change] = 1.0 / (cfg.changepoint_prior_scale * np.maximum(np.abs(beta[change]), 1e-4))
+    return beta, sigma2
+
+
 def fit_series(pdf: pd.DataFrame, cfg: AdditiveConfig, regressors: Sequence[str] = ()) -> dict:
     """Coefficients of one series by reweighted ridge regression: Gaussian priors on waves
     and effects, a sparse (Laplace) prior on the changes of slope."""
@@ -127,26 +157,9 @@ def fit_series(pdf: pd.DataFrame, cfg: AdditiveConfig, regressors: Sequence[str]
     centers, spreads = values.mean(axis=0), values.std(axis=0)
     spreads = np.where(spreads > 0, spreads, 1.0)
     x = _design(pdf, start, t_scale, changepoints, names, centers, spreads, regressors, cfg)
-    n_waves = 2 * (cfg.yearly_order + cfg.weekly_order + cfg.daily_order)
-    prior = np.concatenate(
-        [
-            [5.0, 5.0],
-            np.full(n_cp, cfg.changepoint_prior_scale),
-            np.full(n_waves, cfg.seasonality_prior_scale),
-            np.full(len(names), cfg.holidays_prior_scale),
-            np.full(len(regressors), cfg.seasonality_prior_scale),
-        ]
-    )
+    prior = priors(n_cp, len(names), len(regressors), cfg)
     target = y / y_scale
-    gram, cross, square = x.T @ x, x.T @ target, float(target @ target)
-    sigma2, change = 0.25, slice(2, 2 + n_cp)
-    inverse = 1.0 / prior**2
-    beta = np.zeros(x.shape[1])
-    for _ in range(cfg.sweeps):
-        beta = np.linalg.solve(gram + sigma2 * np.diag(inverse) + 1e-9 * np.eye(len(beta)), cross)
-        residual = square - 2 * beta @ cross + beta @ gram @ beta
-        sigma2 = max(residual / len(y), 1e-8)
-        inverse[change] = 1.0 / (cfg.changepoint_prior_scale * np.maximum(np.abs(beta[change]), 1e-4))
+    beta, sigma2 = reweighted(x.T @ x, x.T @ target, float(target @ target), len(y), prior, n_cp, cfg)
     return {
         "start": start,
         "last": last,
@@ -271,3 +284,81 @@ def backtest_model(date: str = DATE, target: str = TARGET, cfg: AdditiveConfig =
         return np.clip(forecast["yhat"].to_numpy(), 0.0, None)
 
     return model
+
+
+def window_basis(days: np.ndarray, cfg: AdditiveConfig) -> tuple[np.ndarray, np.ndarray]:
+    """The design of all days of a series, and the times of its slope changes, as shares of the whole series.
+
+    The changes lie on an even grid over the first ``changepoint_range`` of the series, the same for all windows.
+    """
+    span = max(float(days[-1] - days[0]), 1.0)
+    t = (days - days[0]) / span
+    knots = np.linspace(0, cfg.changepoint_range, cfg.n_changepoints + 1)[1:]
+    waves = _basis(pd.Series(days.astype("datetime64[D]")), cfg)
+    return np.column_stack([np.ones(len(t)), t, np.maximum(t[:, None] - knots, 0.0), waves]), knots
+
+
+def window_predictions(
+    df: DataFrame,
+    keys: Sequence[str] = KEYS,
+    date: str = DATE,
+    target: str = TARGET,
+    windows: BacktestConfig = BacktestConfig(),
+    cfg: AdditiveConfig = AdditiveConfig(),
+    name: str = "additive",
+) -> DataFrame:
+    """Backtest predictions of the additive forecaster in expanding windows: (keys, window_id, date, model, y, yhat).
+
+    All windows of a series share one basis, and the sums of products of its rows run along: a window adds the rows since the
+    one before and solves a system of the size of the basis, so training rows are read once and not once a window. Knots and
+    the time scale therefore do not move with the window; a window uses the knots in the first ``changepoint_range`` of its training
+    period. A series is bounded by its days; forecasts are not below 0.
+    """
+    rows = require_daily_grain(spread(df.select(*keys, date, target), *keys), keys, date)
+    w = Window.partitionBy(*keys)
+    rows = rows.withColumn("_first", F.add_months(F.min(date).over(w), windows.train_window_months))
+    rows = rows.withColumn(target, F.nanvl(F.col(target).cast("double"), F.lit(None).cast("double")))
+    schema = df.select(*keys, F.lit(0).alias("window_id"), date, F.lit(name).alias("model"), F.lit(0.0).alias("y"), F.lit(0.0).alias("yhat")).schema
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf[date].notna()].sort_values(date, kind="stable")
+        out = [pdf.iloc[:0][[*keys, date]].assign(window_id=0, model="", y=0.0, yhat=0.0)]
+        if len(pdf):
+            days = pd.to_datetime(pdf[date]).to_numpy("datetime64[D]").astype(int)
+            first = np.datetime64(pdf["_first"].iloc[0], "D").astype(int)
+            y = pdf[target].to_numpy(np.float64)
+            for window_id, low, high, yhat in _windows(days, y, first, windows, cfg):
+                part = pdf.iloc[low:high][[*keys, date]]
+                out.append(part.assign(window_id=window_id, model=name, y=y[low:high], yhat=yhat))
+        return pd.concat(out)[[f.name for f in schema]]
+
+    none = F.lit(None).cast("double")
+    return rows.groupBy(*keys).applyInPandas(run, schema).withColumn("y", F.nanvl("y", none))
+
+
+def _windows(days, y, first, windows: BacktestConfig, cfg: AdditiveConfig):
+    """(id, first and last test row, forecast) of every window with enough training rows, from running sums."""
+    x, knots = window_basis(days, cfg)
+    known = ~np.isnan(y)
+    size, n, read = x.shape[1], 0, 0
+    gram, cross, square, scale = np.zeros((size, size)), np.zeros(size), 0.0, 0.0
+    waves = np.arange(2 + len(knots), size)
+    for window_id in range((days[-1] - first - windows.test_window_days) // windows.step_days + 1):
+        train_end = first + window_id * windows.step_days
+        low = int(np.searchsorted(days, train_end, "right"))
+        high = int(np.searchsorted(days, train_end + windows.test_window_days, "right"))
+        fresh = np.flatnonzero(known[read:low]) + read
+        gram += x[fresh].T @ x[fresh]
+        cross += x[fresh].T @ y[fresh]
+        square += float(y[fresh] @ y[fresh])
+        scale = max(scale, float(np.abs(y[fresh]).max(initial=0.0)))
+        n, read = n + len(fresh), low
+        if low < windows.min_train_samples or high <= low or n < 2:
+            continue
+        unit = scale or 1.0
+        active = int((knots <= cfg.changepoint_range * (days[low - 1] - days[0]) / max(days[-1] - days[0], 1)).sum())
+        chosen = np.concatenate([np.arange(2 + active), waves])
+        sums = gram[np.ix_(chosen, chosen)], cross[chosen] / unit, square / unit**2
+        beta, _ = reweighted(*sums, n, priors(active, 0, 0, cfg), active, cfg)
+        yield window_id, low, high, np.clip(x[low:high][:, chosen] @ beta * unit, 0.0, None)

@@ -344,8 +344,7 @@ def run_backtest(spark, sf):
 
 @register("b4_additive_backtest", f"window_id i, model s, {_METRIC_SPEC}, n_scored i")
 def additive_backtest(spark, sf):
-    predictions = backtest.model_predictions(b.dense_sales(spark, sf), {"additive": additive.backtest_model()}, windows_per_task=8)
-    return backtest.window_metrics(predictions)
+    return backtest.window_metrics(additive.window_predictions(b.dense_sales(spark, sf)))
 
 
 # ---- additive forecaster

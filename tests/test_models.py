@@ -1,12 +1,14 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import column, day, series
+from retailcast.config import BacktestConfig
 from retailcast.models import additive, boosted, sequence
-from retailcast.operators import features
+from retailcast.operators import backtest, features
 
 SMALL = additive.AdditiveConfig(yearly_order=0, n_changepoints=5)
 
@@ -90,6 +92,39 @@ def test_additive_beats_the_last_value_in_a_backtest(spark):
     assert ours < naive.agg(F.avg("rmse")).first()[0] / 2
 
 
+def test_windows_from_running_sums_equal_refits_on_the_same_basis(spark):
+    """Every window's forecast equals a fit on the products of its own training rows."""
+    rng = np.random.default_rng(6)
+    values = [None if i % 97 == 5 else 80 + i / 9 + 15 * np.sin(2 * np.pi * i / 7) + rng.normal() for i in range(520)]
+    both = series(spark, values).union(series(spark, [None if v is None else 3 * v for v in values[:400]], store=2, skip=(30, 31, 390)))
+    windows = BacktestConfig(step_days=20)
+    got = additive.window_predictions(both, windows=windows).toPandas()
+    cfg = additive.AdditiveConfig()
+    want = backtest.model_predictions(both, {"m": lambda train, test: np.zeros(len(test))}, cfg=windows).toPandas()
+    assert len(got) == len(want) and set(zip(got["store_nbr"], got["window_id"])) == set(zip(want["store_nbr"], want["window_id"]))
+    for store in (1, 2):
+        rows = both.where(f"store_nbr = {store}").orderBy("date").toPandas()
+        days = pd.to_datetime(rows["date"]).to_numpy("datetime64[D]").astype(int)
+        y = rows["sales"].to_numpy(float)
+        x, knots = additive.window_basis(days, cfg)
+        for window_id, part in got[got["store_nbr"] == store].groupby("window_id"):
+            part = part.sort_values("date")
+            at = np.searchsorted(days, pd.to_datetime(part["date"]).to_numpy("datetime64[D]").astype(int))
+            end = at[0]
+            active = int((knots <= 0.8 * (days[end - 1] - days[0]) / (days[-1] - days[0])).sum())
+            chosen = [*range(2 + active), *range(2 + len(knots), x.shape[1])]
+            fresh = np.flatnonzero(~np.isnan(y[:end]))
+            z, scale = x[fresh][:, chosen], np.abs(y[fresh]).max()
+            sums = z.T @ z, z.T @ (y[fresh] / scale), float((y[fresh] / scale) @ (y[fresh] / scale))
+            beta, _ = additive.reweighted(*sums, len(fresh), additive.priors(active, 0, 0, cfg), active, cfg)
+            plain = np.clip(x[at][:, chosen] @ beta * scale, 0, None)
+            assert part["yhat"].to_numpy() == pytest.approx(plain, rel=1e-6, abs=1e-6)
+            assert np.isnan(part["y"].to_numpy(float)).tolist() == np.isnan(y[at]).tolist()
+    error = np.nanmean(np.abs(got["yhat"] - got["y"].astype(float)))
+    assert error < 8
+    assert additive.window_predictions(both.limit(0)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def boosted_fit(spark):
     both = series(spark, trend_wave(150)).union(series(spark, trend_wave(150), store=2)).union(series(spark, [1] * 20, store=3))
