@@ -132,6 +132,8 @@ def gains(grams: DataFrame, counts: DataFrame, characters: np.ndarray) -> DataFr
             size = pdf["longest"].str.len().to_numpy()
             out = {"gram": pdf["longest"]}
             for name, halves in (("g0", [1]), ("g1", [0]), ("whole", [0, 1])):
+                if not (characters[halves].sum(0) > 0).all():
+                    halves = [0, 1]  # a half without URLs of a class cannot judge the other one
                 logs = []
                 for k in (0, 1):
 
@@ -152,8 +154,8 @@ def gains(grams: DataFrame, counts: DataFrame, characters: np.ndarray) -> DataFr
 
 def differences(ruled: DataFrame) -> DataFrame | None:
     """``url, n, half, class, other, whole`` of every distinct URL: its rows, and its log-likelihood under the accepted
-    minus the rejected model for each character, by the counts of the other half and by all counts. None without
-    accepted or without rejected URLs in a half.
+    minus the rejected model for each character, by the counts of the other half and by all counts. A half without
+    URLs of a class leaves the other half to all counts, as in a table of few URLs. None without accepted or without rejected URLs.
 
     URLs are dealt into chunks of about ``PIECE`` characters; a chunk asks for each of its grams once.
     """
@@ -178,7 +180,7 @@ def differences(ruled: DataFrame) -> DataFrame | None:
     sums = urls.where("class is not null").groupBy("half", "class").agg(F.sum((F.length("url") + 1) * F.col("n")).alias("n"))
     for row in sums.collect():
         characters[row["half"], row["class"]] = row["n"]
-    if not (characters > 0).all():
+    if not (characters.sum(0) > 0).all():
         return None
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
