@@ -6,7 +6,6 @@ Predictions are long: (keys, date, model, y, yhat, lower, upper).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -97,28 +96,43 @@ def gram_sums(
 
 
 def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray | None:
-    """Non-negative weights of sum 1 with the least squared error, by trying every support.
+    """Non-negative weights of sum 1 with the least squared error, by an active-set method.
 
-    On one support the optimum of the equality-constrained problem is linear; the best
-    feasible one over all supports is the optimum. Fewer models win ties.
+    It starts at the best single model. On the models in use the optimum of the equality-constrained problem is linear; a
+    step towards it ends where a weight reaches 0, and that model leaves. At the optimum of the models in use the one outside
+    that lowers the error fastest enters. The error never rises, so no set of models returns.
     """
-    m, best, best_loss = len(cross), None, np.inf
+    m = len(cross)
+    if not (np.isfinite(gram).all() and np.isfinite(cross).all()):
+        return None
     scale = max(float(np.abs(gram).max()), 1e-12)
-    for size in range(1, m + 1):
-        for support in combinations(range(m), size):
-            s = list(support)
-            system = np.zeros((size + 1, size + 1))
-            system[:size, :size] = gram[np.ix_(s, s)] / scale
-            system[:size, size] = system[size, :size] = 1.0
-            solution = np.linalg.lstsq(system, np.append(cross[s] / scale, 1.0), rcond=None)[0][:size]
-            if not np.isfinite(solution).all() or (solution < -1e-12).any() or abs(solution.sum() - 1) > 1e-9:
-                continue
-            w = np.zeros(m)
-            w[s] = np.maximum(solution, 0.0) / np.maximum(solution, 0.0).sum()
-            loss = float(w @ gram @ w - 2 * w @ cross)
-            if loss < best_loss - 1e-12 * scale:
-                best, best_loss = w, loss
-    return best
+    gram, cross = gram / scale, cross / scale
+    w = np.zeros(m)
+    w[int(np.argmin(np.diag(gram) - 2 * cross))] = 1.0
+    used = w > 0
+    for _ in range(50 * m):
+        s = np.flatnonzero(used)
+        system = np.zeros((len(s) + 1, len(s) + 1))
+        system[:-1, :-1] = gram[np.ix_(s, s)]
+        system[:-1, -1] = system[-1, :-1] = 1.0
+        # the change of the weights, so that of equal optima the nearest is taken
+        move = np.linalg.lstsq(system, np.append(cross[s] - gram[s] @ w, 0.0), rcond=1e-12)[0][:-1]
+        down = move < 0
+        reach = w[s][down] / -move[down]
+        if len(reach) and reach.min() < 1 - 1e-12:
+            leaving = s[down][int(np.argmin(reach))]
+            w[s] = np.maximum(w[s] + reach.min() * move, 0.0)
+            w[leaving], used[leaving] = 0.0, False
+            continue
+        w[s] = np.maximum(w[s] + move, 0.0)
+        slope = gram @ w - cross
+        level = float(slope @ w) / float(w.sum())
+        outside = np.where(used, np.inf, slope - level)
+        enter = int(np.argmin(outside))
+        if not outside[enter] < -1e-11:
+            break
+        used[enter] = True
+    return w / w.sum()
 
 
 def optimize_weights(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from retailcast.operators.quantiles import global_quantiles
+from retailcast.session import scratch_path
 
 HITS = 4  # rows expected to be hit per tree, as a multiple of the sample; the sample is the first of them
 EULER_GAMMA = 0.5772156649015329
@@ -148,7 +149,9 @@ class IsolationForest:
         return isolation(*self._inputs())
 
     def flag(self, df: DataFrame) -> DataFrame:
-        """Add ``anomaly_if``: the score is above its ``1 - contamination`` quantile."""
-        scored = df.withColumn("_score", self.score())
+        """Add ``anomaly_if``: the score is above its ``1 - contamination`` quantile. Rows are scored once and written."""
+        path = scratch_path(df.sparkSession, "scores")
+        df.withColumn("_score", self.score()).write.parquet(path)
+        scored = df.sparkSession.read.parquet(path)
         cut = global_quantiles(scored, "_score", (1.0 - self.contamination,)).scalar()
         return scored.withColumn("anomaly_if", F.col("_score") > F.get(cut, F.lit(0))).drop("_score")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,34 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with a text, whole and at once; False if it is there already.
+
+    The text is written beside it first. A rename does not replace a file, except on a local disk, where a hard link is made instead.
+    """
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getUri().getScheme() != "file":
+            return bool(fs.rename(draft, target))
+        files, paths = jvm.java.nio.file.Files, jvm.java.nio.file.Paths
+        try:
+            files.createLink(paths.get(fs.makeQualified(target).toUri()), paths.get(fs.makeQualified(draft).toUri()))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        return True
+    finally:
+        fs.delete(draft, False)
+
+
 def null_nan(df: DataFrame) -> DataFrame:
     """Null in place of NaN, so that aggregates skip it."""
     nulls: dict[str, Column] = {

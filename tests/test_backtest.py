@@ -1,6 +1,8 @@
 import datetime as dt
 import math
 import sys
+import time
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -226,6 +228,52 @@ def long_rows(spark, y, models):
     return spark.createDataFrame(rows, "store_nbr int, family string, date date, model string, y double, yhat double")
 
 
+def every_support(gram, cross):
+    """The best weights over all sets of models, by trying each."""
+    m, best, best_loss = len(cross), None, np.inf
+    for size in range(1, m + 1):
+        for support in combinations(range(m), size):
+            s = list(support)
+            system = np.ones((size + 1, size + 1))
+            system[:size, :size], system[size, size] = gram[np.ix_(s, s)], 0.0
+            found = np.linalg.lstsq(system, np.append(cross[s], 1.0), rcond=None)[0][:size]
+            if (found < -1e-12).any() or abs(found.sum() - 1) > 1e-9:
+                continue
+            w = np.zeros(m)
+            w[s] = np.maximum(found, 0)
+            loss = w @ gram @ w - 2 * w @ cross
+            if loss < best_loss - 1e-12:
+                best, best_loss = w, loss
+    return best
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 5, 8])
+def test_active_set_equals_all_supports(m):
+    rng = np.random.default_rng(m)
+    for _ in range(25):
+        y = rng.normal(10, 3, 60)
+        p = y[:, None] * rng.uniform(0, 1.2, m) + rng.normal(0, 2, (60, m)) + rng.normal(0, 3, m)
+        gram, cross = p.T @ p / 60, p.T @ y / 60
+        found = ensemble.simplex_weights(gram, cross)
+        assert found == pytest.approx(every_support(gram, cross), abs=1e-7) and found.sum() == pytest.approx(1)
+
+
+def test_weights_of_many_and_of_equal_models():
+    rng = np.random.default_rng(3)
+    y = rng.normal(10, 3, 500)
+    p = y[:, None] + rng.normal(0, 1, (500, 30)) + rng.normal(0, 1, 30)
+    gram, cross = p.T @ p, p.T @ y
+    began = time.perf_counter()
+    w = ensemble.simplex_weights(gram, cross)
+    assert time.perf_counter() - began < 1 and w.min() >= 0 and w.sum() == pytest.approx(1)
+    slope = gram @ w - cross
+    assert (slope - slope @ w >= -1e-6 * np.abs(gram).max()).all()  # no model outside lowers the error
+    twins = np.column_stack([y + 1, y + 1, y - 3])
+    found = ensemble.simplex_weights(twins.T @ twins, twins.T @ y)
+    assert found == pytest.approx([0.75, 0, 0.25])
+    assert ensemble.simplex_weights(np.zeros((2, 2)), np.zeros(2)) == pytest.approx([1, 0])
+
+
 def test_weights_are_the_best_on_the_simplex(spark):
     y, models = three_models(spark)
     row = ensemble.optimize_weights(long_rows(spark, y, models)).first()

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,28 @@ def test_registry_returns_the_last_appended(spark, tmp_path):
     assert again.latest().count() == 2 and again.entries().count() == 3
 
 
+def test_registry_of_several_writers(spark, tmp_path):
+    """Appends of two sessions at the same time: no number is shared, none is lost, each writer's order holds."""
+    path = str(tmp_path / "r")
+
+    def write(k):
+        registry = ModelRegistry(spark.newSession(), path)
+        for i in range(5):
+            registry.register(f"writer{k}", str(i), {"i": i}, "p")
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, range(2)))
+    rows = ModelRegistry(spark, path).entries().orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(1, 11))
+    for k in range(2):
+        assert [r["version"] for r in rows if r["type"] == f"writer{k}"] == list("01234")
+    registry = ModelRegistry(spark, path)
+    registry.append(registry.entries().where("seq < 0"))
+    assert registry.entries().count() == 10
+    assert files.create_once(spark, f"{path}/once", "a") and not files.create_once(spark, f"{path}/once", "b")
+    assert spark.read.text(f"{path}/once").first()[0] == "a"
+
+
 def test_anomaly_page(spark):
     rows = [("2023-01-01", 1, "A", 9.0, "iqr", "cap", 5.0), ("2023-01-02", 2, "A", 9.0, "isolation_forest", "cap", 5.0)]
     records = spark.createDataFrame(rows, files.ANOMALY_SCHEMA)
