@@ -446,6 +446,16 @@ def test_long_texts_with_many_candidates():
     assert len(base) == 40_000 and all(not free for _, _, _, _, free, _ in candidates)
 
 
+def test_a_half_without_a_class_takes_all_counts(spark):
+    """Two judged URLs, at most one of a class in a half: pages without a rule are still scored by the models."""
+    urls = ["https://a.com/good/garden/tools", "https://b.net/es/spam/casino/win", "https://c.org/good/garden/tools", "https://c.org/spam/casino/win"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    assert rows[0]["verdict"] == "allow" and rows[1]["verdict"] == "block"
+    found = {r["url"]: r["whole"] for r in url_filter.differences(url_filter.with_rules(pages)).collect()}
+    assert found[urls[2]] > 0 > found[urls[3]] and rows[2]["score"] >= rows[3]["score"]
+
+
 def test_url_pieces(monkeypatch):
     monkeypatch.setattr(url_filter, "PIECE", 10)
     urls = ["", "abc", "x" * 50, "", "ab", "cd", "efghijk"]
