@@ -63,7 +63,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, groups=simhash.near_duplicates(docs))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
