@@ -9,7 +9,8 @@ sort over numbers.
 
 Defined cases: a null text counts as empty; an empty text has the empty fingerprint, and two empty
 fingerprints have likeness 1; a text of fewer than ``k`` words is one k-mer; equal texts have equal
-fingerprints. Extra columns of the input are never read.
+fingerprints. A text of more than 2**24 words has its positions scaled to 2**24 places in text order; k-mers that
+fall on one place there are ordered by their hash. Extra columns of the input are never read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ PLACE_BITS = 24
 PLACES = (1 << PLACE_BITS) - 1
 HASH_BITS = 64 - BIN_BITS - PLACE_BITS
 HASHES = (1 << HASH_BITS) - 1
+TUPLE_BITS = 32
 ROWS = 1024  # documents of a bucket when the next document is looked up
 MAX_BUCKETS = 1 << 16
 
@@ -36,8 +38,15 @@ def _packed(hash_: Column, place: Column) -> Column:
     return hash_.bitwiseAND(F.lit(~PLACES)).bitwiseOR(place.bitwiseAND(F.lit(PLACES)))
 
 
+def place_of(at: Column, count: Column) -> Column:
+    """Place of position ``at`` of ``count`` positions: the position itself where all have a place of their own."""
+    at = at.cast("long")
+    return F.when(count <= PLACES + 1, at).otherwise(F.floor(at * F.lit(PLACES + 1) / count))
+
+
 def with_signature(df: DataFrame, text: str, name: str, k: int = 3, pick: int = 2) -> DataFrame:
-    """Add the signature of a non-null text column: one number per bin in use, bin * 65536 + tuple hash."""
+    """Add the signature of a non-null text column: one number per bin in use, the bin above
+    ``TUPLE_BITS`` bits of tuple hash."""
     keep = df.columns
     column = lambda c: F.col(f"_{c}")
     out = df.withColumn("_words", F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, r"\s+")))
@@ -47,7 +56,7 @@ def with_signature(df: DataFrame, text: str, name: str, k: int = 3, pick: int =
         "_hashed",
         F.transform(
             F.slice(words, 1, count),
-            lambda x, i: _packed(F.xxhash64(x, *[F.get(words, i + d) for d in range(1, k)]), i.cast("long")),
+            lambda x, i: _packed(F.xxhash64(x, *[F.get(words, i + d) for d in range(1, k)]), place_of(i, F.size(words))),
         ),
     )
     out = out.withColumn("_sorted", F.sort_array("_hashed"))
@@ -98,7 +107,7 @@ def with_signature(df: DataFrame, text: str, name: str, k: int = 3, pick: int =
         for d in range(1, pick):
             follower = F.get(seq, i + d)
             parts.append(F.when(_bin(follower) == _bin(x), follower.bitwiseAND(F.lit(HASHES))))
-        return (F.shiftleft(_bin(x), 16) + F.xxhash64(*parts).bitwiseAND(F.lit(0xFFFF))).cast("int")
+        return F.shiftleft(_bin(x), TUPLE_BITS).bitwiseOR(F.xxhash64(*parts).bitwiseAND(F.lit((1 << TUPLE_BITS) - 1)))
 
     opens = lambda x, i: (i == 0) | (_bin(F.coalesce(F.get(seq, i - 1), F.lit(0))) != _bin(x))
     entries = F.transform(seq, lambda x, i: F.when(opens(x, i), tuple_hash(x, i)))
@@ -107,13 +116,14 @@ def with_signature(df: DataFrame, text: str, name: str, k: int = 3, pick: int =
 
 
 def as_text(signature: Column) -> Column:
-    """Six hexadecimal digits for each bin in use."""
-    return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 6, "0"))), "")
+    """Ten hexadecimal digits for each bin in use."""
+    return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 10, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal bins among the bins that either signature uses."""
-    used = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, 16)), F.transform(b, lambda x: F.shiftright(x, 16))))
+    bins = lambda c: F.transform(c, lambda x: F.shiftright(x, TUPLE_BITS))
+    used = F.size(F.array_union(bins(a), bins(b)))
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
 
 

@@ -235,6 +235,57 @@ def test_order_minhash(docs, none):
     assert order_minhash.fingerprints(none).count() == 0
 
 
+def plain_signature(text: str, k: int = 3, pick: int = 2) -> dict[int, int]:
+    """Tuple hash by bin, one k-mer after another."""
+
+    def chained(parts) -> int:
+        seed = 42
+        for part in parts:
+            seed = xxhash.xxh64_intdigest(part.encode() if isinstance(part, str) else part.to_bytes(8, "little", signed=True), seed)
+        return seed
+
+    words = re.split(r"[ \t\n\x0b\f\r]+", text) if text else []
+    seen, bins = Counter(), {}
+    for at in range(max(len(words) - k + 1, min(len(words), 1))):
+        mer = chained(words[at : at + k]) >> 24
+        signed = mer - (1 << 40) if mer >> 39 else mer
+        number = chained([signed, seen[mer]]) >> 24
+        seen[mer] += 1
+        bins.setdefault(number >> 34, []).append((number & ((1 << 34) - 1), at))
+    ordered = {b: sorted(sorted(mers)[:pick], key=lambda m: m[1]) for b, mers in bins.items()}
+    return {b: chained([h for h, _ in mers]) & 0xFFFFFFFF for b, mers in ordered.items()}
+
+
+def plain_likeness(a: dict[int, int], b: dict[int, int]) -> float:
+    used = a.keys() | b.keys()
+    return sum(a.get(x) == b.get(x) for x in used) / len(used) if used else 1.0
+
+
+def test_order_minhash_against_plain_code(spark):
+    rng = random.Random(11)
+    texts = ["", "one", "one two", " lead and  trail ", "漢字 ünï " * 5, "same " * 300]
+    texts += [" ".join(f"w{rng.randrange(60)}" for _ in range(n)) for n in (3, 4, 40, 200, 700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in order_minhash.fingerprints(df).collect()}
+    for i, text in enumerate(texts):
+        after = texts[i - 1]  # ids descend, after the smallest comes the largest
+        half = len(text) // 2
+        own, edited, following = (plain_signature(t) for t in (text, text[: len(text) - half] + after[:half], after))
+        want = sorted(own, key=lambda b: b - 64 if b >= 32 else b)
+        assert rows[i]["fingerprint"] == "".join(f"{b << 32 | own[b]:010x}" for b in want)
+        assert rows[i]["near_edited"] == pytest.approx(plain_likeness(own, edited))
+        assert rows[i]["near_next"] == pytest.approx(plain_likeness(own, following))
+
+
+def test_places_of_very_long_texts_keep_the_order(spark):
+    n = 3 << 24
+    at = [0, 1, 2, 3, n // 2, n // 2 + 3, n - 4, n - 1]
+    df = spark.createDataFrame([(i,) for i in at], "i int")
+    got = [r[0] for r in df.select(order_minhash.place_of(F.col("i"), F.lit(n)), "i").orderBy("i").collect()]
+    assert got == [i // 3 for i in at]
+    assert df.where(order_minhash.place_of(F.col("i"), F.lit(1 << 24)) != F.col("i")).count() == 0
+
+
 def test_order_matters_in_a_signature(spark):
     words = [f"w{i}" for i in range(400)]
     moved = words[200:] + words[:200]
@@ -381,9 +432,32 @@ def test_packing(spark, none):
         for c in ("source", "cluster"):
             values = [r[c] for r in inside if r[c] is not None]
             assert len(values) == len(set(values))
+    again = packing.place(items.repartition(7, "cluster"), 100, 200).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_of_copies_ties_and_large_numbers(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 4)
+    big = (1 << 62) + 1
+    rows = [(big, "s", big, 30)] * 11 + [(None, None, None, 30)] * 9 + [(big + 2, "t", big + 2, 230), (3, None, None, 0)]
+    items = spark.createDataFrame(rows, "doc_id long, source string, cluster long, n_tokens long")
+    got = packing.place(items, 100).collect()
+    assert Counter((r["doc_id"], r["source"], r["cluster"], r["n_tokens"]) for r in got) == Counter(rows)
+    assert len({r["bin_id"] for r in got if r["doc_id"] == big}) == 11
+    assert all(r["bin_id"] is None for r in got if r["doc_id"] == 3)
+    assert next(r for r in got if r["doc_id"] == big + 2)["n_full"] == 2
+
+
+def test_packing_keeps_near_copies_apart(spark):
+    docs = spark.createDataFrame([(i, f"a b c {i}", None) for i in range(6)], "doc_id long, text string, source string")
+    groups = spark.createDataFrame([(i, i // 3) for i in range(6)] + [(0, 9)], "doc_id long, component_id long")
+    got = {r["doc_id"]: r for r in packing.pack_documents(docs, groups=groups).collect()}
+    assert len(got) == 6 and len({r["bin_id"] for r in got.values()}) == 3
+    assert {r["cluster"] for r in got.values()} == {0, 1}
+    assert len({r["bin_id"] for r in packing.pack_documents(docs).collect()}) == 1
+
+
 def test_best_fit_against_plain_search():
     rng = random.Random(9)
     items = [(rng.randrange(1, 60), 1 << rng.randrange(4), 0) for _ in range(300)]
