@@ -292,12 +292,32 @@ _LAGGED = f"""centred AS (SELECT store_nbr, family, sales - AVG(sales) OVER ({_K
 _ACF = f"{DENSE}, {_LAGGED}"
 
 
+def _levinson(acf: str, days: str, last: str) -> str:
+    """CTE ``steps``: the last coefficient of every order up to ``last``, by the Levinson-Durbin recursion over the
+    autocorrelations of ``acf`` with divisor n - lag; ``days`` has the rows of each series."""
+    return f"""n AS (SELECT store_nbr, family, COUNT(*) AS n FROM {days} GROUP BY 1, 2),
+  r AS MATERIALIZED (SELECT a.store_nbr, a.family, {last} AS last_lag, LIST(acf * n / (n - lag) ORDER BY lag) AS r
+    FROM {acf} a JOIN n ON a.store_nbr = n.store_nbr AND a.family = n.family WHERE lag <= {last} GROUP BY 1, 2, 3),
+  steps AS (SELECT *, 0 AS lag, CAST([] AS DOUBLE[]) AS phi, r[1] AS error, CAST(1 AS DOUBLE) AS pacf FROM r
+    UNION ALL SELECT store_nbr, family, last_lag, r, lag + 1,
+      list_append([phi[j] - c * phi[lag + 1 - j] FOR j IN range(1, lag + 1)], c), error * (1 - c * c), c
+    FROM (SELECT *, (r[lag + 2] - COALESCE(list_sum([phi[j] * r[lag + 2 - j] FOR j IN range(1, lag + 1)]), 0)) / error AS c
+      FROM steps WHERE lag < last_lag) o)"""
+
+
+
+
 @register("y3_acf", "store_nbr i, family s, lag i, acf f", f"WITH {_ACF} SELECT * FROM acf")
 def acf(spark, sf):
     return seasonality.correlogram(b.dense_sales(spark, sf))
 
 
-@register("y4_pacf", "store_nbr i, family s, lag i, pacf f")
+@register(
+    "y4_pacf",
+    "store_nbr i, family s, lag i, pacf f",
+    f"""WITH RECURSIVE {_ACF}, {_levinson("acf", "dense", "LEAST(50, n // 4)")}
+    SELECT store_nbr, family, lag, pacf FROM steps WHERE pacf IS NOT NULL AND NOT ISNAN(pacf)""",
+)
 def pacf(spark, sf):
     return seasonality.correlogram(b.dense_sales(spark, sf)).where("pacf is not null")
 
@@ -368,22 +388,28 @@ def centred_mean(spark, sf):
     return seasonality.decompose(b.sales(spark, sf)).where("trend is not null")
 
 
-@register(
-    "y7_report_acf",
-    "store_nbr i, family s, lag i, acf f, band f",
-    f"""WITH {_FILLED}, t AS (SELECT store_nbr, family, sales - AVG(sales) OVER ({_KEY}) AS x,
+_REPORT_ACF = f"""{_FILLED}, t AS (SELECT store_nbr, family, sales - AVG(sales) OVER ({_KEY}) AS x,
       ROW_NUMBER() OVER {P} AS t, COUNT(*) OVER ({_KEY}) AS n FROM filled),
-    l AS (SELECT UNNEST(generate_series(0, 50)) AS lag)
+    l AS (SELECT UNNEST(generate_series(0, 50)) AS lag),
+    report AS (
     SELECT a.store_nbr, a.family, lag, SUM(a.x * z.x) / ANY_VALUE(v.v) AS acf, ANY_VALUE(1.96 / SQRT(a.n)) AS band
     FROM t a CROSS JOIN l JOIN t z ON a.store_nbr = z.store_nbr AND a.family = z.family AND z.t = a.t + lag
     JOIN (SELECT store_nbr, family, SUM(x * x) AS v FROM t GROUP BY 1, 2) v
       ON a.store_nbr = v.store_nbr AND a.family = v.family
-    WHERE lag <= a.n // 2 - 1 GROUP BY 1, 2, 3""",
-)
+    WHERE lag <= a.n // 2 - 1 GROUP BY 1, 2, 3)"""
+
+
+@register("y7_report_acf", "store_nbr i, family s, lag i, acf f, band f", f"WITH {_REPORT_ACF} SELECT * FROM report")
 def report_acf(spark, sf):
     return seasonality.report_correlogram(b.sales(spark, sf))
 
 
-@register("t8_seasonality_page", "store_nbr i, family s, lag i, acf f, pacf f, band f")
+@register(
+    "t8_seasonality_page",
+    "store_nbr i, family s, lag i, acf f, pacf f, band f",
+    f"""WITH RECURSIVE {_REPORT_ACF}, {_levinson("report", "t", "GREATEST(1, LEAST(50, n // 2 - 1, n // 4))")}
+    SELECT p.store_nbr, p.family, p.lag, acf, CASE WHEN NOT ISNAN(pacf) THEN pacf END AS pacf, band
+    FROM report p LEFT JOIN steps s ON p.store_nbr = s.store_nbr AND p.family = s.family AND p.lag = s.lag""",
+)
 def seasonality_page(spark, sf):
     return seasonality.report_correlogram(b.sales(spark, sf))
