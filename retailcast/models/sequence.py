@@ -153,14 +153,46 @@ class SequenceModel:
             .where((F.col("_back") == 1) & (F.size("_x") == cfg.lookback * len(columns)))
             .select(*keys, date, "_lo0", "_hi0", F.concat(F.array(F.lit(1.0)), "_x").alias("_x"))
         )
-        table = ", ".join("array(" + ", ".join(f"{v!r}D" for v in self.beta[:, h].tolist()) + ")" for h in range(cfg.horizon))
-        steps = last.select("*", F.posexplode(F.expr(f"array({table})")).alias("_h", "_beta"))
-        dot = F.aggregate(F.zip_with("_x", "_beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return steps.select(
-            *keys,
-            F.date_add(date, F.col("_h") + 1).alias(date),
-            unscaled(dot, F.col("_lo0"), F.col("_hi0")).alias("yhat"),
-        )
+        return readout(last, self.beta, keys, date)
+
+
+def readout(last: DataFrame, beta: np.ndarray, keys: Sequence[str], date: str) -> DataFrame:
+    """(keys, date, yhat) of the days after ``date``: the inputs ``_x`` times a column of ``beta`` for each day, unscaled."""
+    table = ", ".join("array(" + ", ".join(f"{v!r}D" for v in column) + ")" for column in beta.T.tolist())
+    steps = last.select("*", F.posexplode(F.expr(f"array({table})")).alias("_h", "_beta"))
+    dot = F.aggregate(F.zip_with("_x", "_beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return steps.select(
+        *keys,
+        F.date_add(date, F.col("_h") + 1).alias(date),
+        unscaled(dot, F.col("_lo0"), F.col("_hi0")).alias("yhat"),
+    )
+
+
+def ridge_path(
+    sums: dict[bool, tuple[np.ndarray, ...]], penalties: Sequence[float], patience: int
+) -> tuple[np.ndarray, list[tuple[int, float, float, float, bool]]]:
+    """The best of the ridge fits by validation loss, and all that were tried.
+
+    Penalties go from strong to weak until the validation loss has not improved ``patience`` times.
+    """
+    train = sums[True]
+    valid = sums.get(False, train)
+    best, best_loss, waited, tried = None, np.inf, 0, []
+    for step, penalty in enumerate(penalties):
+        ridge = np.eye(len(train[0])) * penalty
+        ridge[0, 0] = 1e-9
+        beta = np.linalg.solve(train[0] + ridge, train[1])
+        loss = _loss(beta, valid)
+        tried.append([step, penalty, _loss(beta, train), loss, False])
+        if loss < best_loss:
+            best, best_loss, waited = beta, loss, 0
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+    for entry in tried:
+        entry[4] = entry[3] == best_loss
+    return best, [tuple(e) for e in tried]
 
 
 def fit_sequence(
@@ -183,21 +215,5 @@ def fit_sequence(
     sums = _normal_equations(windows, width, cfg.horizon)
     if True not in sums:
         return None
-    train = sums[True]
-    valid = sums.get(False, train)
-    best, best_loss, waited, tried = None, np.inf, 0, []
-    for step, penalty in enumerate(cfg.penalties):
-        ridge = np.eye(width + 1) * penalty
-        ridge[0, 0] = 1e-9
-        beta = np.linalg.solve(train[0] + ridge, train[1])
-        loss = _loss(beta, valid)
-        tried.append([step, penalty, _loss(beta, train), loss, False])
-        if loss < best_loss:
-            best, best_loss, waited = beta, loss, 0
-        else:
-            waited += 1
-            if waited >= cfg.patience:
-                break
-    for entry in tried:
-        entry[4] = entry[3] == best_loss
-    return SequenceModel(best, [tuple(e) for e in tried], cfg, tuple(keys), tuple(features))
+    best, history = ridge_path(sums, cfg.penalties, cfg.patience)
+    return SequenceModel(best, history, cfg, tuple(keys), tuple(features))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retailcast.models import additive, sequence, series_boosted
+from retailcast.models import additive, reservoir, sequence, series_boosted
 from retailcast.operators import backtest, ensemble, features, panel
 from retailcast.operators.registry import ModelRegistry
 from retailcast.plans import bindings as b
@@ -465,6 +465,59 @@ def total_forecast(spark, sf):
     return sequence.fit_sequence(total, keys=(), cfg=sequence.SequenceConfig(horizon=7)).predict(total)
 
 
+RESERVOIR = reservoir.ReservoirConfig(horizon=7)
+
+
+def _state_sql() -> str:
+    """States of every day by a recursive query: the layer's weights as lists, a step a day."""
+    into, weights = reservoir.layer(RESERVOIR, 1)
+    numbers = lambda values: "[" + ", ".join(f"{v!r}::DOUBLE" for v in values) + "]"
+    matrix = "[" + ", ".join(numbers(row) for row in weights.tolist()) + "]"
+    n, keep = RESERVOIR.units, 1.0 - RESERVOIR.leak
+    return f"""WITH RECURSIVE {DENSE}, p AS (SELECT *, ROW_NUMBER() OVER w AS pos,
+      FLOOR(COUNT(*) OVER ({_KEY}) * 0.8) AS cut FROM dense WINDOW w AS ({_KEY} ORDER BY date)),
+    bounds AS (SELECT store_nbr, family, MIN(sales) FILTER (pos <= cut) AS lo, MAX(sales) FILTER (pos <= cut) AS hi
+      FROM p GROUP BY 1, 2),
+    u AS (SELECT store_nbr, family, date, pos, pos <= cut AS is_train, (sales - lo) / (hi - lo + 1e-8) AS u
+      FROM p JOIN bounds USING (store_nbr, family)),
+    s AS (SELECT store_nbr, family, 0::BIGINT AS pos, list_transform(range({n}), lambda i: 0.0::DOUBLE) AS x
+      FROM bounds UNION ALL
+      SELECT s.store_nbr, s.family, u.pos, list_transform(range(1, {n + 1}), lambda i: {keep!r}::DOUBLE * s.x[i]
+        + {RESERVOIR.leak!r}::DOUBLE * tanh(l.bias[i] + l.into[i] * u.u + list_dot_product(l.weights[i], s.x)))
+      FROM s JOIN u ON u.store_nbr = s.store_nbr AND u.family = s.family AND u.pos = s.pos + 1,
+      (SELECT {numbers(into[:, 0].tolist())} AS bias, {numbers(into[:, 1].tolist())} AS into, {matrix} AS weights) AS l),
+    y AS (SELECT *, LEAD(u, {RESERVOIR.horizon}) OVER w AS y_last, ROW_NUMBER() OVER w AS place
+      FROM u WINDOW w AS ({_KEY}, is_train ORDER BY date))
+    SELECT y.store_nbr, y.family, y.date, y.is_train, s.x[1] AS x_first, s.x[{n}] AS x_last, list_sum(s.x) AS x_sum, y.y_last
+    FROM y JOIN s ON s.store_nbr = y.store_nbr AND s.family = y.family AND s.pos = y.pos
+    WHERE y.y_last IS NOT NULL AND y.place >= {RESERVOIR.washout}"""
+
+
+@register(
+    "m10_reservoir_states",
+    "store_nbr i, family s, date d, is_train b, x_first f, x_last f, x_sum f, y_last f",
+    _state_sql(),
+)
+def reservoir_states(spark, sf):
+    w = reservoir.reservoir_windows(b.dense_sales(spark, sf), cfg=RESERVOIR)
+    return w.select(
+        "store_nbr",
+        "family",
+        "date",
+        "is_train",
+        F.get("x", F.lit(0)).alias("x_first"),
+        F.element_at("x", -1).alias("x_last"),
+        F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("x_sum"),
+        F.element_at("y", -1).alias("y_last"),
+    )
+
+
+@register("m10_reservoir_forecast", "store_nbr i, family s, date d, yhat f4")
+def reservoir_forecast(spark, sf):
+    dense = b.dense_sales(spark, sf)
+    return reservoir.fit_reservoir(dense, cfg=RESERVOIR).predict(dense)
+
+
 # ---- ensemble
 
 BASE_MODELS = ("naive", "mean_28d")
