@@ -2,18 +2,20 @@
 
 Trees grow from small samples picked by a row hash, so the same rows are picked
 whatever the partitioning; all rows are then scored where they lie. The cut-off is
-the exact quantile of the scores.
+the exact quantile of the scores. Every draw is an MD5 of a row's key or of a node's number,
+so any engine can grow the same trees, and ``tree_table`` gives them as rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -22,8 +24,11 @@ from retailcast.session import scratch_path
 
 HITS = 4  # rows expected to be hit per tree, as a multiple of the sample; the sample is the first of them
 EULER_GAMMA = 0.5772156649015329
+PRIME = 2**31 - 1  # a row's draws for tree t are (a + t * b) mod PRIME, independent for any two trees
 
-_NODES = "tree int, points int, feature array<int>, threshold array<double>, left array<int>, depth array<double>"
+_NODES = (
+    "tree int, points int, number array<bigint>, feature array<int>, threshold array<double>, left array<int>, depth array<double>"
+)
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -34,12 +39,19 @@ def mean_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(points: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str, list]:
+def node_draws(seed: int, tree: int, number: int) -> tuple[float, float]:
+    """Two numbers of [0, 1) for a node: which feature it cuts, and where."""
+    digest = hashlib.md5(f"{seed}:{tree}:{number}".encode()).hexdigest()
+    return int(digest[:8], 16) / 2**32, int(digest[8:16], 16) / 2**32
+
+
+def _grow(points: np.ndarray, limit: int, seed: int, tree: int) -> dict[str, list]:
     """Random axis cuts until a point is alone or the depth limit is reached.
 
-    The right child follows the left one; a leaf has feature -1 and stores its depth.
+    The children of node k are numbered 2k and 2k + 1, the root 1. The right child follows the left one in the
+    lists; a leaf has feature -1 and stores its depth.
     """
-    feature, threshold, left, depth = [-1], [0.0], [-1], [0.0]
+    number, feature, threshold, left, depth = [1], [-1], [0.0], [-1], [0.0]
     todo = [(0, points, 0)]
     while todo:
         node, rows, level = todo.pop()
@@ -48,17 +60,21 @@ def _grow(points: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str,
         if level >= limit or len(rows) <= 1 or len(usable) == 0:
             depth[node] = level + float(mean_path(len(rows)))
             continue
-        f = int(rng.choice(usable))
-        cut = float(rng.uniform(low[f], high[f]))
+        which, where = node_draws(seed, tree, number[node])
+        f = int(usable[int(which * len(usable))])
+        cut = float(low[f] + where * (high[f] - low[f]))
+        if cut >= high[f]:  # by rounding; both sides keep a point
+            cut = float(low[f])
         child = len(feature)
         feature[node], threshold[node], left[node] = f, cut, child
+        number += [2 * number[node], 2 * number[node] + 1]
         for values in (feature, left):
             values += [-1, -1]
         for values in (threshold, depth):
             values += [0.0, 0.0]
         below = rows[:, f] <= cut
         todo += [(child, rows[below], level + 1), (child + 1, rows[~below], level + 1)]
-    return {"feature": feature, "threshold": threshold, "left": left, "depth": depth}
+    return {"number": number, "feature": feature, "threshold": threshold, "left": left, "depth": depth}
 
 
 def _for_scoring(node_lists) -> dict[str, np.ndarray]:
@@ -70,6 +86,7 @@ def _for_scoring(node_lists) -> dict[str, np.ndarray]:
         "threshold": np.where(leaf, np.inf, threshold),
         "left": np.where(leaf, np.arange(len(leaf)), left),
         "depth": np.array(node_lists["depth"]),
+        "number": np.array(node_lists["number"]),
     }
 
 
@@ -106,15 +123,16 @@ class IsolationForest:
         row = df.sparkSession.range(1).select(*[F.get(m, F.lit(0)).alias(f"m{i}") for i, m in enumerate(medians)]).first()
         self.medians = [0.0 if v is None else float(v) for v in row]
 
-        # every tree draws from all rows: a row goes to the trees for which its hash is small
-        pool = df.select(F.xxhash64(*row_key, F.lit(self.seed)).alias("_h"), F.array(*self._inputs()).alias("x"))
-        space = 1 << 40
-        bound = math.ceil(space * min(1.0, HITS * self.sample_size / max(df.count(), 1)))
+        # every tree draws from all rows: a row goes to the trees for which its draw is small
+        key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in row_key], F.lit(str(self.seed))))
+        part = lambda at: F.conv(F.substring("_h", at, 8), 16, 10).cast("bigint") % PRIME
+        pool = df.select(key.alias("_h"), F.array(*self._inputs()).alias("x"))
+        pool = pool.select("x", part(1).alias("_a"), part(9).alias("_b"))
+        bound = math.ceil(PRIME * min(1.0, HITS * self.sample_size / max(df.count(), 1)))
         numbers = F.sequence(F.lit(0), F.lit(self.n_trees - 1))
-        trees = F.explode(
-            F.filter(numbers, lambda t: F.pmod(F.xxhash64("_h", t, F.lit(self.seed)), F.lit(space)) < bound)
-        )
-        order = Window.partitionBy("tree").orderBy(F.pmod(F.xxhash64("_h", "tree", F.lit(self.seed)), F.lit(space)), "x")
+        draw = lambda t: (F.col("_a") + t.cast("bigint") * F.col("_b")) % PRIME
+        trees = F.explode(F.filter(numbers, lambda t: draw(t) < bound))
+        order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "x")
         drawn = (
             pool.withColumn("tree", trees)
             .withColumn("_place", F.row_number().over(order))
@@ -125,16 +143,31 @@ class IsolationForest:
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(pdf["tree"].iloc[0])
-            points = np.array(sorted(map(tuple, pdf["x"])))
-            return pd.DataFrame([{"tree": tree, "points": len(points), **_grow(points, limit, np.random.default_rng([seed, tree]))}])
+            points = np.vstack(pdf["x"].to_numpy())
+            return pd.DataFrame([{"tree": tree, "points": len(points), **_grow(points, limit, seed, tree)}])
 
         nodes = drawn.groupBy("tree").applyInPandas(grow, _NODES).orderBy("tree").collect()
         self.trees = [_for_scoring(n) for n in nodes]
         self.drawn = max((n["points"] for n in nodes), default=0)
         return self
 
+    def tree_table(self, spark: SparkSession) -> DataFrame:
+        """(tree, node, feature, threshold, depth): a leaf has a depth, any other node a feature and a threshold.
+
+        Rows with a value of at most the threshold go on to node 2k, others to 2k + 1.
+        """
+        rows = []
+        for t, tree in enumerate(self.trees):
+            leaf = np.isinf(tree["threshold"])
+            for k in range(len(leaf)):
+                cut = (None, None, float(tree["depth"][k])) if leaf[k] else (
+                    self.features[tree["feature"][k]], float(tree["threshold"][k]), None
+                )
+                rows.append((t, int(tree["number"][k]), *cut))
+        return spark.createDataFrame(rows, "tree int, node bigint, feature string, threshold double, depth double")
+
     def score(self) -> Column:
-        """Anomaly score in (0, 1]; higher is more isolated."""
+        """Anomaly score in (0, 1], to 12 digits, so that ties do not depend on the order of sums; higher is more isolated."""
         trees, scale = self.trees, max(float(mean_path(self.drawn)), 1e-12)
         steps = math.ceil(math.log2(self.sample_size))
 
@@ -144,7 +177,7 @@ class IsolationForest:
             total = np.zeros(len(x))
             for tree in trees:
                 total += _path_lengths(x, tree, steps)
-            return pd.Series(np.exp2(-total / (len(trees) * scale)))
+            return pd.Series(np.rint(np.exp2(-total / (len(trees) * scale)) * 1e12) / 1e12)
 
         return isolation(*self._inputs())
 

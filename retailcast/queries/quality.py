@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retailcast.operators import anomaly, quality, seasonality
+from retailcast.operators import anomaly, forest, quality, seasonality
 from retailcast.plans import bindings as b
 from retailcast.plans import reports
 from retailcast.queries.registry import register
@@ -90,11 +90,77 @@ def iqr_by_series(spark, sf):
 FOREST_FEATURES = ("sales", "onpromotion")
 
 
-@register("n2_isolation_forest", "date d, store_nbr i, family s, sales f, onpromotion i, anomaly_if b")
+def _forest_sql() -> str:
+    """The trees of the forest over sales and promotions, grown level by level, and the score of every row.
+
+    Ends in ``scored``: the rows of ``sales`` with their score and the cut-off.
+    """
+    f = anomaly.IsolationForest()
+    limit, p = (f.sample_size - 1).bit_length(), forest.PRIME
+    part = lambda text, at: f"CAST('0x' || substr({text}, {at}, 8) AS BIGINT)"
+    path = lambda c: (
+        f"CASE WHEN {c} > 2 THEN 2.0::DOUBLE * (ln({c} - 1.0::DOUBLE) + {forest.EULER_GAMMA!r}::DOUBLE) "
+        f"- 2.0::DOUBLE * ({c} - 1.0::DOUBLE) / {c} WHEN {c} = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    )
+    ctes = [
+        SALES,
+        """m AS (SELECT quantile_cont(sales, 0.5) AS m0, quantile_cont(CAST(onpromotion AS DOUBLE), 0.5) AS m1, COUNT(*) AS n
+          FROM sales)""",
+        f"""pool AS (SELECT date, store_nbr, family, CAST(COALESCE(sales, m0) AS DOUBLE) AS x0, CAST(COALESCE(onpromotion, m1) AS DOUBLE) AS x1,
+          md5(concat(CAST(date AS VARCHAR), '|', CAST(store_nbr AS VARCHAR), '|', family, '|{f.seed}')) AS h, n FROM sales, m)""",
+        f"""hits AS (SELECT tree, x0, x1, ({part("h", 1)} % {p} + tree * ({part("h", 9)} % {p})) % {p} AS v, n
+          FROM pool, (SELECT UNNEST(range({f.n_trees})) AS tree) t)""",
+        f"""drawn AS (SELECT tree, 1::BIGINT AS node, x0, x1 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tree ORDER BY v, x0, x1) AS place
+          FROM hits WHERE v < ceil({p} * least(1.0::DOUBLE, {forest.HITS * f.sample_size}::DOUBLE / n))) WHERE place <= {f.sample_size})""",
+        "p0 AS (SELECT * FROM drawn)",
+    ]
+    for k in range(limit + 1):
+        inner = "c > 1 AND (hi0 > lo0 OR hi1 > lo1)" if k < limit else "FALSE"
+        ctes += [
+            f"""g{k} AS (SELECT *, {inner} AS inner_node, md5(concat('{f.seed}:', tree, ':', node)) AS h FROM (SELECT tree, node, COUNT(*) AS c,
+              MIN(x0) AS lo0, MAX(x0) AS hi0, MIN(x1) AS lo1, MAX(x1) AS hi1 FROM p{k} GROUP BY 1, 2))""",
+            f"""f{k} AS (SELECT *, CASE WHEN hi0 > lo0 AND hi1 > lo1
+              THEN CAST(floor({part("h", 1)} / 4294967296.0::DOUBLE * 2) AS INT) WHEN hi0 > lo0 THEN 0 ELSE 1 END AS f FROM g{k})""",
+            f"""c{k} AS (SELECT tree, node, c, inner_node, f, CASE WHEN cut >= hi THEN lo ELSE cut END AS cut, {k} + {path("c")} AS depth
+              FROM (SELECT *, lo + {part("h", 9)} / 4294967296.0::DOUBLE * (hi - lo) AS cut FROM
+              (SELECT *, CASE f WHEN 0 THEN lo0 ELSE lo1 END AS lo, CASE f WHEN 0 THEN hi0 ELSE hi1 END AS hi FROM f{k})))""",
+        ]
+        if k < limit:
+            ctes.append(f"""p{k + 1} AS (SELECT p.tree, 2 * p.node + CASE WHEN CASE f WHEN 0 THEN x0 ELSE x1 END > cut THEN 1 ELSE 0 END AS node, x0, x1
+              FROM p{k} p JOIN c{k} c ON c.tree = p.tree AND c.node = p.node AND c.inner_node)""")
+    nodes = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(limit + 1))
+    walk = ["w0 AS (SELECT x0, x1, tree, 1::BIGINT AS node, 0.0::DOUBLE AS depth, TRUE AS going FROM (SELECT DISTINCT x0, x1 FROM pool), (SELECT DISTINCT tree FROM drawn))"]
+    for k in range(limit + 1):
+        # a walk that reached a leaf stays as it is
+        walk.append(f"""w{k + 1} AS (SELECT x0, x1, w.tree, CASE WHEN going AND inner_node
+          THEN 2 * w.node + CASE WHEN CASE f WHEN 0 THEN x0 ELSE x1 END > cut THEN 1 ELSE 0 END ELSE w.node END AS node,
+          CASE WHEN going AND NOT inner_node THEN n.depth ELSE w.depth END AS depth, going AND inner_node AS going
+          FROM w{k} w JOIN nodes n ON n.tree = w.tree AND n.node = w.node)""")
+    ctes += [
+        f"nodes AS MATERIALIZED ({nodes})",
+        *walk,
+        f"unit AS (SELECT {path('MAX(c)')} AS unit FROM c0)",
+        f"""scores AS (SELECT x0, x1, round(pow(2.0::DOUBLE, -SUM(depth) / (COUNT(*) * greatest(MAX(unit), 1e-12::DOUBLE))) * 1e12) / 1e12 AS score
+          FROM w{limit + 1}, unit GROUP BY 1, 2)""",
+        "rows_scored AS (SELECT date, store_nbr, family, score FROM pool JOIN scores USING (x0, x1))",
+        f"""scored AS (SELECT s.*, r.score, r.score > cut AS anomaly_if FROM sales s JOIN rows_scored r USING (date, store_nbr, family),
+          (SELECT quantile_cont(score, {1.0 - f.contamination!r}::DOUBLE) AS cut FROM rows_scored))""",
+    ]
+    return ", ".join(ctes)
+
+
+FOREST_SQL = _forest_sql()
+
+
+@register(
+    "n2_isolation_forest",
+    "date d, store_nbr i, family s, sales f, onpromotion i, anomaly_if b",
+    f"WITH {FOREST_SQL} SELECT * FROM scored",
+)
 def isolation_forest(spark, sf):
     df = b.sales(spark, sf).persist()  # read for the medians, the sample, the scores and the cut-off
-    forest = anomaly.IsolationForest().fit(df, FOREST_FEATURES, ("date", "store_nbr", "family"))
-    return forest.flag(df)
+    grown = anomaly.IsolationForest().fit(df, FOREST_FEATURES, ("date", "store_nbr", "family"))
+    return grown.flag(df)
 
 
 @register(
@@ -106,7 +172,13 @@ def detect_iqr_only(spark, sf):
     return anomaly.detect_anomalies(b.sales(spark, sf))
 
 
-@register("n3_detect_both", "date d, store_nbr i, family s, anomaly_iqr b, anomaly_if b, is_anomaly b")
+@register(
+    "n3_detect_both",
+    "date d, store_nbr i, family s, anomaly_iqr b, anomaly_if b, is_anomaly b",
+    f"""WITH {FOREST_SQL}, {_flagged_sql(False).removeprefix(SALES + ", ")}
+    SELECT date, store_nbr, family, f.anomaly_iqr, s.anomaly_if, f.anomaly_iqr OR s.anomaly_if AS is_anomaly
+    FROM flagged f JOIN scored s USING (date, store_nbr, family)""",
+)
 def detect_both(spark, sf):
     return anomaly.detect_anomalies(b.sales(spark, sf).persist(), multivariate_features=FOREST_FEATURES)
 

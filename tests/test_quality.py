@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import column, day, series
-from retailcast.operators import anomaly, quality
+from retailcast.operators import anomaly, forest, quality
 from retailcast.operators.quantiles import global_quantiles
 
 
@@ -168,3 +168,41 @@ def test_both_detectors(spark):
     out = anomaly.detect_anomalies(df, multivariate_features=("f1", "f2"))
     assert out.where("is_anomaly").count() == out.where("anomaly_if").count() > 0
     assert {r["method"] for r in anomaly.anomaly_records(out, "remove").collect()} == {"isolation_forest"}
+
+
+def test_forest_as_a_table_gives_the_scores(spark):
+    df = forest_frame(spark)
+    grown = anomaly.IsolationForest(n_trees=7, sample_size=32).fit(df, ("f1", "f2"), ("date", "store_nbr", "family"))
+    table = {(r["tree"], r["node"]): r for r in grown.tree_table(spark).collect()}
+    unit = float(forest.mean_path(grown.drawn))
+    for row in df.withColumn("_score", grown.score()).collect():
+        total = 0.0
+        for tree in range(7):
+            node = 1
+            while table[tree, node]["depth"] is None:
+                cut = table[tree, node]
+                node = 2 * node + (row[cut["feature"]] > cut["threshold"])
+            total += table[tree, node]["depth"]
+        assert row["_score"] == pytest.approx(2 ** (-total / (7 * unit)), abs=1e-11)
+
+
+def test_trees_come_from_hashes_and_split_every_node():
+    points = np.array([[float(i), float(i % 3)] for i in range(20)] + [[1.0, 1.0]] * 5)
+    grown = forest._grow(points, 4, 42, 3)
+    assert grown == forest._grow(points[::-1], 4, 42, 3)
+    assert grown != forest._grow(points, 4, 43, 3)
+    assert len(set(grown["number"])) == len(grown["number"]) and max(grown["number"]) < 2**5
+    which, where = zip(*[forest.node_draws(1, 2, k) for k in range(4000)], strict=True)
+    assert np.mean(which) == pytest.approx(0.5, abs=0.02) and np.mean(where) == pytest.approx(0.5, abs=0.02)
+    assert abs(np.corrcoef(which, where)[0, 1]) < 0.05
+    same = forest._grow(np.ones((6, 2)), 4, 42, 0)  # nothing to cut
+    assert same["feature"] == [-1] and same["depth"] == [pytest.approx(float(forest.mean_path(6)))]
+
+
+def test_forest_takes_null_keys_and_one_row(spark):
+    rows = [(None, 1.0, 2.0), ("a", 3.0, None)]
+    df = spark.createDataFrame(rows, "k string, f1 double, f2 double")
+    grown = anomaly.IsolationForest(n_trees=3).fit(df, ("f1", "f2"), ("k",))
+    assert grown.flag(df).count() == 2
+    one = df.limit(1)
+    assert anomaly.IsolationForest(n_trees=3).fit(one, ("f1",), ("k",)).flag(one).where("anomaly_if").count() == 0
