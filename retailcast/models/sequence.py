@@ -7,8 +7,9 @@ the driver only solves systems of the size of a window.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -128,14 +129,28 @@ class SequenceModel:
         )
 
     def save(self, spark, path: str) -> None:
-        """Coefficients by horizon step; the horizon and the window follow from their shape."""
-        rows = [(h, [float(v) for v in self.beta[:, h]]) for h in range(self.beta.shape[1])]
-        frame = spark.createDataFrame(rows, "step int, beta array<double>")
-        frame.write.mode("overwrite").parquet(path)
+        """A row of coefficients for each day ahead, with all that ``load`` needs: configuration, keys and features."""
+        about = json.dumps({"config": asdict(self.cfg), "keys": self.keys, "features": self.features})
+        rows = [(h, [float(v) for v in self.beta[:, h]], about) for h in range(self.beta.shape[1])]
+        spark.createDataFrame(rows, "step int, beta array<double>, about string").write.mode("overwrite").parquet(path)
 
     @classmethod
-    def load(cls, spark, path: str, cfg: SequenceConfig, keys: Sequence[str] = KEYS, features: Sequence[str] = ()) -> SequenceModel:
+    def load(
+        cls,
+        spark,
+        path: str,
+        cfg: SequenceConfig | None = None,
+        keys: Sequence[str] | None = None,
+        features: Sequence[str] | None = None,
+    ) -> SequenceModel:
+        """The stored model; arguments replace what is stored (needed for tables without a description)."""
         rows = spark.read.parquet(path).orderBy("step").collect()
+        stored = json.loads(rows[0]["about"]) if "about" in rows[0] else {}
+        if cfg is None:
+            values = stored["config"]
+            cfg = SequenceConfig(**{**values, "penalties": tuple(values["penalties"])})
+        keys = stored.get("keys", KEYS) if keys is None else keys
+        features = stored.get("features", ()) if features is None else features
         return cls(np.array([r["beta"] for r in rows]).T, [], cfg, tuple(keys), tuple(features))
 
     def predict(self, df: DataFrame, date: str = DATE, target: str = TARGET) -> DataFrame:

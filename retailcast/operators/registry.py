@@ -28,8 +28,10 @@ class ModelRegistry:
         """(folder of the rows, entries before, entries) of every commit, in order."""
         if not path_exists(self.spark, f"{self.path}/log"):
             return []
+        # the folder may be there before its first commit
+        logged = self.spark.read.option("pathGlobFilter", "*.commit").text(f"{self.path}/log")
         out, before = [], 0
-        for line in sorted(r["value"] for r in self.spark.read.text(f"{self.path}/log/*.commit").collect()):
+        for line in sorted(r["value"] for r in logged.collect()):
             _, folder, n = line.split("|")
             out.append((folder, before, int(n)))
             before += int(n)

@@ -9,10 +9,9 @@ from retailcast.plans import jobs
 from retailcast.queries.evaluation import _PREDICTED, BASE_MODELS, last_week
 from retailcast.queries.quality import _flagged_sql
 from retailcast.queries.registry import register
-from retailcast.queries.storage import _landed
+from retailcast.queries.storage import _landed, own_store
 from retailcast.queries.tables import SALES
 from retailcast.session import scratch_path
-from retailcast.sources.catalog import TableStore
 
 
 def _config(spark, sf, **more):
@@ -77,7 +76,7 @@ def backtest_job(spark, sf):
       (SELECT COUNT(lagged) FROM l) AS known_lags FROM n""",
 )
 def prepare_job(spark, sf):
-    store = TableStore(spark, scratch_path(spark, "layers"))
+    store = own_store(spark)
     done = jobs.prepare(spark, _config(spark, sf), store)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).scalar()
     return done.validation.select(

@@ -102,9 +102,15 @@ def forecast_export(spark, sf):
     return files.read_csv(spark, path, schema)
 
 
+def own_store(spark):
+    """A table store of its own for each run of a query."""
+    path = scratch_path(spark, "layers")
+    return TableStore(spark, path, f"layers_{path.rsplit('-', 1)[1]}_")
+
+
 def _store(spark, sf):
     """The lines, the panel and its lags, each in its layer."""
-    store = TableStore(spark, scratch_path(spark, "layers"))
+    store = own_store(spark)
     sales = b.sales(spark, sf)
     store.store(b.sale_lines(spark, sf), "lines", "raw")
     store.store(sales, "sales", "cleaned")
@@ -124,7 +130,7 @@ _TABLES = (("raw", "lines"), ("cleaned", "sales"), ("features", "lags"))
 def layer_tables(spark, sf):
     store = _store(spark, sf)
     counts = [
-        store.query(f"SELECT '{layer}' AS layer, '{name}' AS name, COUNT(*) AS n FROM {layer}.{name}")
+        store.query(f"SELECT '{layer}' AS layer, '{name}' AS name, COUNT(*) AS n FROM {store.prefix}{layer}.{name}")
         for layer, name in _TABLES
     ]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
@@ -137,9 +143,10 @@ def layer_tables(spark, sf):
     SELECT store_nbr, family, SUM(sales) AS sales, COUNT(sales_lag_7) AS known_lags FROM l GROUP BY 1, 2""",
 )
 def sql_over_tables(spark, sf):
-    return _store(spark, sf).query(
-        "SELECT s.store_nbr, s.family, SUM(s.sales) AS sales, COUNT(sales_lag_7) AS known_lags FROM cleaned.sales s "
-        "JOIN features.lags l ON s.date = l.date AND s.store_nbr = l.store_nbr AND s.family = l.family GROUP BY 1, 2"
+    store = _store(spark, sf)
+    return store.query(
+        f"SELECT s.store_nbr, s.family, SUM(s.sales) AS sales, COUNT(sales_lag_7) AS known_lags FROM {store.prefix}cleaned.sales s "
+        f"JOIN {store.prefix}features.lags l ON s.date = l.date AND s.store_nbr = l.store_nbr AND s.family = l.family GROUP BY 1, 2"
     )
 
 
@@ -153,7 +160,7 @@ def table_exists(spark, sf):
     store = _store(spark, sf)
     rows = [(layer, store.exists("lines", layer), store.exists("nothing", layer)) for layer in LAYERS]
     found = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("layer", "present", "absent"), strict=True)]) for r in rows])
-    return store.query("SELECT COUNT(*) AS n FROM raw.lines").select("n", F.inline(found))
+    return store.query(f"SELECT COUNT(*) AS n FROM {store.prefix}raw.lines").select("n", F.inline(found))
 
 
 @register("s13_partitioned_by_series", _SALES_SPEC, _ALL_SALES)

@@ -47,11 +47,11 @@ def test_partition_folders_hold_awkward_names(spark, tmp_path):
 
 
 def test_table_store(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "layers"))
+    store = TableStore(spark, str(tmp_path / "layers"), "store_test_")
     store.store(series(spark, [1, 2]), "s")
     assert store.exists("s") and not store.exists("s", "cleaned") and not store.exists("none")
     store.store(series(spark, [1, 2, 3]), "s")
-    assert store.query("SELECT COUNT(*) AS n FROM raw.s").first()["n"] == 3
+    assert store.query("SELECT COUNT(*) AS n FROM store_test_raw.s").first()["n"] == 3
     with pytest.raises(ValueError):
         store.store(series(spark, [1]), "s", "other")
 
@@ -133,8 +133,7 @@ def test_backtest_job(spark, job_config):
 
 
 def test_prepare_job_fills_the_layers(spark, job_config, tmp_path):
-    store = TableStore(spark, str(tmp_path / "layers"))
-    store.spark.sql("DROP TABLE IF EXISTS raw.stores")
+    store = TableStore(spark, str(tmp_path / "layers"), "prepare_test_")
     done = jobs.prepare(spark, job_config, store)
     assert done.validation.first()["is_valid"]
     assert done.features.count() == done.merged.count() == 300
@@ -155,3 +154,12 @@ def test_forecast_job(spark, job_config):
     out = jobs.forecast(spark, sales, job_config)
     assert out.groupBy("store_nbr").count().collect()[0]["count"] == 7
     assert out.where("not (lower <= yhat and yhat <= upper)").count() == 0
+
+
+def test_registry_before_its_first_commit(spark, tmp_path):
+    """Another writer has made the log's folder, and not yet a commit."""
+    (tmp_path / "r" / "log").mkdir(parents=True)
+    registry = ModelRegistry(spark, str(tmp_path / "r"))
+    assert registry.entries().count() == 0
+    registry.register("a", "1", {"m": 1.0}, "p")
+    assert registry.latest("a").first()["seq"] == 1
