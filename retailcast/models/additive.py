@@ -7,6 +7,8 @@ brings a series' days and its row together again.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 
 from retailcast import DATE, KEYS, TARGET
 from retailcast.config import BacktestConfig
+from retailcast.models.reservoir import hash_uniform
 from retailcast.operators.joins import join_per_date, lookup_join
 from retailcast.operators.panel import require_daily_grain, spread
 
@@ -34,6 +37,8 @@ class AdditiveConfig:
     holidays_prior_scale: float = 10.0
     interval_width_z: float = 1.96
     sweeps: int = 5
+    trend_paths: int = 0  # simulated futures of the trend behind the bounds; 0 for bounds by formula
+    seed: int = 42
 
 
 COEFFICIENTS = [
@@ -175,9 +180,40 @@ def fit_series(pdf: pd.DataFrame, cfg: AdditiveConfig, regressors: Sequence[str]
     }
 
 
-def predict_series(pdf: pd.DataFrame, model, cfg: AdditiveConfig, regressors: Sequence[str] = ()) -> pd.DataFrame:
+def simulated_bounds(ahead: np.ndarray, changes: float, size: float, sigma: float, stream: int, cfg: AdditiveConfig) -> tuple[np.ndarray, ...]:
+    """Lower and upper offsets from the forecast at times after the history, as quantiles over simulated futures.
+
+    A future has Poisson many slope changes, ``changes`` for each length of the history, at even times and of Laplace
+    sizes with mean ``size``, and normal noise on each day. Every draw is a hash of seed, ``stream`` and its place.
+    """
+    paths, span = cfg.trend_paths, float(ahead.max(initial=0.0))
+    rate = changes * span
+    # counts by inversion; no future of the largest draw has more than this
+    most = int(np.ceil(rate + 10 * np.sqrt(rate) + 20))
+    counts = np.arange(most)
+    logs = counts * np.log(max(rate, 1e-300)) - rate - np.concatenate([[0.0], np.cumsum(np.log(counts[1:]))])
+    share = lambda n, draw: (hash_uniform(n, 8 * stream + draw, cfg.seed) + 1.0) / 2.0
+    number = np.searchsorted(np.cumsum(np.exp(logs)), share(paths, 0)).clip(max=most)
+    when = share(paths * most, 1).reshape(paths, most) * span
+    side = share(paths * most, 2).reshape(paths, most) - 0.5
+    slope = -size * np.sign(side) * np.log(np.maximum(1.0 - 2.0 * np.abs(side), 1e-300))
+    slope = np.where(np.arange(most) < number[:, None], slope, 0.0)
+    drift = np.zeros((paths, len(ahead)))
+    for j in range(most):
+        drift += slope[:, j, None] * np.maximum(ahead - when[:, j, None], 0.0)
+    cells = paths * len(ahead)
+    noise = np.sqrt(-2.0 * np.log(1.0 - share(cells, 3))) * np.cos(2.0 * np.pi * share(cells, 4))
+    tail = 0.5 * (1.0 + math.erf(cfg.interval_width_z / math.sqrt(2.0)))
+    low, high = np.quantile(drift + sigma * noise.reshape(drift.shape), [1.0 - tail, tail], axis=0)
+    return low, high
+
+
+def predict_series(
+    pdf: pd.DataFrame, model, cfg: AdditiveConfig, regressors: Sequence[str] = (), stream: int = 0
+) -> pd.DataFrame:
     """Forecast with bounds: noise plus, after the history, slope changes as frequent and
-    as large as those of the history."""
+    as large as those of the history. With ``trend_paths`` the bounds after the history are those of simulated
+    futures, ``stream`` telling series apart; the bounds inside it are the noise alone in either case."""
     changepoints = np.asarray(model["changepoints"], dtype=float)
     x = _design(
         pdf, model["start"], model["t_scale"], changepoints, list(model["names"]),
@@ -191,8 +227,12 @@ def predict_series(pdf: pd.DataFrame, model, cfg: AdditiveConfig, regressors: Se
     size = float(np.abs(change).mean()) if len(change) else 0.0
     variance = model["sigma"] ** 2 + 2.0 * size**2 * len(changepoints) * ahead**3 / 3.0
     width = cfg.interval_width_z * np.sqrt(variance)
+    low, high = -width, width
+    later = ahead > 0
+    if cfg.trend_paths and later.any():
+        low[later], high[later] = simulated_bounds(ahead[later], len(changepoints), size, model["sigma"], stream, cfg)
     scale = model["y_scale"]
-    return pdf.assign(yhat=yhat * scale, lower=(yhat - width) * scale, upper=(yhat + width) * scale)
+    return pdf.assign(yhat=yhat * scale, lower=(yhat + low) * scale, upper=(yhat + high) * scale)
 
 
 def fit_additive(
@@ -241,7 +281,10 @@ def predict_frame(
     def predict(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
-        return predict_series(left, right.iloc[0], cfg, regressors)[names]
+        model = right.iloc[0]
+        stream = zlib.crc32("|".join(str(model[k]) for k in keys).encode())
+        # in order of days, as draws go by place
+        return predict_series(left.sort_values("ds", kind="stable"), model, cfg, regressors, stream)[names]
 
     # renamed to itself: the days may come from the same table
     models = coefficients.select(*[F.col(c).alias(c) for c in coefficients.columns])

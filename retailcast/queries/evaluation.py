@@ -390,6 +390,18 @@ def stored_models(spark, sf):
     return additive.predict_additive(spark.read.parquet(path), 28, history=b.dense_sales(spark, sf))
 
 
+@register("m1_simulated_intervals", "store_nbr i, family s, ds d, sales f, yhat f4, lower f4, upper f4, inside b")
+def simulated_intervals(spark, sf):
+    """The last 28 days of every series against the bounds of 500 simulated futures of a fit that ends before them."""
+    dense, path = b.dense_sales(spark, sf), scratch_path(spark, "additive")
+    ends = dense.select(F.date_sub(F.max("date"), 28).alias("cut"))
+    cfg = additive.AdditiveConfig(trend_paths=500)
+    additive.fit_additive(dense.where(F.col("date") <= ends.scalar()), cfg=cfg).write.parquet(path)
+    bands = additive.predict_additive(spark.read.parquet(path), 28, cfg=cfg).withColumnRenamed("ds", "date")
+    known = bands.join(dense.select("store_nbr", "family", "date", "sales"), ["store_nbr", "family", "date"])
+    return known.withColumn("inside", F.col("sales").between(F.col("lower"), F.col("upper"))).withColumnRenamed("date", "ds")
+
+
 # ---- boosted trees
 
 
