@@ -2,13 +2,14 @@
 
 The base spans are those of the fixed patterns with their checks. Generators of high recall propose further
 spans that may overlap: loose address forms and runs of digits with separators. Gradient-boosted
-trees score each candidate by its format and its context; they learn from all candidates of a bounded
-sample of documents, where a candidate that is a base span counts as personal data. Scores are calibrated on
-other documents of the sample, and a kind's threshold is the lowest score whose calibrated probability reaches
-``precision``. Candidates above it are added, best first, where they touch no base span and no better one.
+trees score each candidate by its format and its context; they learn from all candidates of all documents, where
+a candidate that is a base span counts as personal data. Candidates with equal features are one row with their number as its
+weight. For the thresholds every candidate is scored by trees that have not seen its document (``FOLDS`` folds by doc_id), and
+a kind's threshold is the lowest score whose probability, calibrated on all of them, reaches ``precision``. Candidates
+above it are added, best first, where they touch no base span and no better one.
 
 Defined cases: a null text counts as empty; texts without candidates have the base spans alone (none);
-without both classes in the sample nothing is added; repeated rows get equal results. Positions count code
+without both classes in the table nothing is added, and a fold outside of which a class is missing sets no threshold; repeated rows get equal results. Positions count code
 points, ends are exclusive. Extra columns are never read.
 """
 
@@ -135,6 +136,8 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
 
 
 FEATURES = 23
+FOLDS = 3
+BINS = 2048  # no feature has as many values; Spark looks for split points in all of up to BINS^2 distinct rows
 FOUND = f"struct<base:array<{SPAN}>,candidates:array<struct<kind:int,start:int,end:int,label:int,free:boolean,x:array<double>>>>"
 
 
@@ -211,9 +214,10 @@ def best_first(base: Column, added: Column) -> Column:
 
 
 def thresholds(scored: DataFrame, precision: float) -> dict[int, float]:
-    """Lowest score of each kind whose calibrated probability reaches ``precision``; no entry if none does."""
+    """Lowest score of each kind whose calibrated probability reaches ``precision``; no entry if none does. ``scored`` has
+    kind, label, weight and score."""
     at = F.least(F.floor(F.col("score") * CELLS), F.lit(CELLS - 1)).cast("int")
-    rows = scored.groupBy("kind", at.alias("cell")).agg(F.sum("label").alias("ones"), F.count("*").alias("n")).collect()
+    rows = scored.groupBy("kind", at.alias("cell")).agg(F.sum(F.col("label") * F.col("weight")).alias("ones"), F.sum("weight").alias("n")).collect()
     centre = (np.arange(CELLS) + 0.5) / CELLS
     out = {}
     for kind in sorted({r["kind"] for r in rows}):
@@ -227,40 +231,52 @@ def thresholds(scored: DataFrame, precision: float) -> dict[int, float]:
     return out
 
 
-def added_spans(rows: DataFrame, max_train: int, trees: int, precision: float) -> DataFrame:
+def weighted(rows: DataFrame) -> DataFrame:
+    """``kind, label, v, fold, weight``: the candidates that count for learning, equal ones of a fold as one row with their number.
+
+    A row's fold comes from its document, so all candidates of a document, and of its copies by id, are in one."""
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    spread = rows.select(fold.alias("fold"), F.inline("found.candidates")).where("free or label = 1")
+    counts = spread.groupBy("kind", "label", "fold", "x").agg(F.count("*").cast("double").alias("weight"))
+    return stored(counts.withColumn("v", array_to_vector("x")).drop("x"), "candidates")
+
+
+def fit(candidates: DataFrame, trees: int):
+    """Trees over weighted candidates; None without both classes."""
+    if {r["label"] for r in candidates.select("label").distinct().collect()} != {0, 1}:
+        return None
+    learner = GBTClassifier(featuresCol="v", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=3, maxBins=BINS, stepSize=0.3, seed=3)
+    return learner.fit(candidates)
+
+
+def added_spans(rows: DataFrame, trees: int, precision: float) -> DataFrame:
     """``row`` and the accepted candidates of each row that has some; ``rows`` is a stored table."""
-    spread = rows.select("row", F.inline("found.candidates"))
-    some = rows.where(F.size("found.candidates") > 0)
-    keep = int(np.ceil(min(1.0, max_train / max(some.count(), 1)) * (1 << 20)))
-    deal = F.pmod(F.xxhash64("row"), F.lit(1 << 20))
-    sample = spread.where(deal < keep).where("free or label = 1").withColumn("v", array_to_vector("x"))
-    sample = stored(sample.withColumn("check", F.pmod(F.xxhash64(F.col("row"), F.lit(1)), F.lit(4)) == 0).select("kind", "label", "check", "v"), "candidates")
-    learn = sample.where("not check")
-    classes = {r["label"] for r in learn.select("label").distinct().collect()}
+    candidates = weighted(rows)
     nothing = rows.sparkSession.createDataFrame([], "row long, added array<struct<kind:int,start:int,end:int,score:double>>")
-    if classes != {0, 1}:
-        return nothing
-    model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=trees, maxDepth=3, stepSize=0.3, seed=3).fit(learn)
+    model = fit(candidates, trees)
     score = vector_to_array("probability")[1]
-    limits = thresholds(model.transform(sample.where("check")).select("kind", "label", score.alias("score")), precision)
+    unseen = None
+    for k in range(FOLDS):
+        other = fit(candidates.where(F.col("fold") != k), trees) if model is not None else None
+        if other is not None:
+            part = other.transform(candidates.where(F.col("fold") == k)).select("kind", "label", "weight", score.alias("score"))
+            unseen = part if unseen is None else unseen.unionByName(part)
+    limits = {} if unseen is None else thresholds(unseen, precision)
     if not limits:
         return nothing
     enough = F.lit(False)
     for kind, limit in limits.items():
         enough = enough | ((F.col("kind") == kind) & (F.col("score") >= limit))
-    open_ = spread.where("free").withColumn("v", array_to_vector("x"))
+    open_ = rows.select("row", F.inline("found.candidates")).where("free").withColumn("v", array_to_vector("x"))
     scored = model.transform(open_).select("row", "kind", "start", "end", score.alias("score")).where(enough)
     return scored.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "score")).alias("added"))
 
 
-def spans(docs: DataFrame, max_train: int = 20_000, trees: int = 10, precision: float = 0.95) -> DataFrame:
-    """doc_id, ``base`` and ``spans`` (arrays of kind, start, end) of every row.
-
-    The trees see at most about ``max_train`` documents with candidates.
-    """
+def spans(docs: DataFrame, trees: int = 10, precision: float = 0.95) -> DataFrame:
+    """doc_id, ``base`` and ``spans`` (arrays of kind, start, end) of every row."""
     rows = docs.select("doc_id", found_in(F.col("text")).alias("found"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "spans")
-    added = added_spans(rows, max_train, trees, precision)
+    added = added_spans(rows, trees, precision)
     out = rows.select("row", "doc_id", "found.base").join(added, "row", "left")
     return out.select("doc_id", "base", best_first(F.col("base"), F.col("added")).alias("spans"))
 

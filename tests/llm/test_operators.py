@@ -560,6 +560,22 @@ def test_pii(docs, none):
     assert clean.startswith("mail [email] or [ip], card [card] tel [phone]")
 
 
+def test_pii_learns_from_every_candidate(spark, monkeypatch):
+    """Trees and thresholds rest on all candidates of all documents, and not on where a row lies."""
+    rng = random.Random(6)
+    forms = ["mail a{}@b.org now", "call +49 30 {} 77 today", "card 4111 1111 1111 1111 of {}", "order {} 2234 5567 8890 1 due", "addr 10.0.0.{}", "serial {}-3344-55"]
+    rows = [(i // 2, " ".join(rng.choice(forms).format(rng.randrange(10_000, 99_999)) for _ in range(4))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learnt, scored, fit, thresholds = [], [], pii.fit, pii.thresholds
+    monkeypatch.setattr(pii, "fit", lambda c, trees: learnt.append(c.agg(F.sum("weight")).first()[0]) or fit(c, trees))
+    monkeypatch.setattr(pii, "thresholds", lambda s, precision: scored.append(s.agg(F.sum("weight")).first()[0]) or thresholds(s, precision))
+    got = pii.report(docs).collect()
+    every = sum(label or free for _, t in rows for _, _, _, label, free, _ in pii.find(t)[1])
+    assert learnt[0] == scored[0] == every and sum(learnt[1:]) == (pii.FOLDS - 1) * every
+    again = pii.report(docs.orderBy(F.rand(3)).repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]
