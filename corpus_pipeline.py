@@ -18,7 +18,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages (two lines or more, or one long line) that occur before."""
+    """Documents without content-defined chunks and passages (two lines or more, or one long line) that occur before."""
     return line_dedup.deduplicate(docs)
 
 

@@ -8,14 +8,13 @@ content. Of each repeated chunk the first occurrence stays (smallest id, nulls l
 smallest text hash, then position); the lines of all others are removed.
 
 The chunks are the contract of the query (``report``, see its SQL). A start depends on three lines, so they
-miss passages of few lines between other neighbours. The stage (``deduplicate``) therefore takes chunks whose ends are
-anchored at their own edges: the window of a rolling hash over the hashes of every two neighbouring lines, and every line
-over ``LONG_LINE`` words. Windows whose rolling hash is repeated anywhere are compared byte by byte; runs of repeated windows that overlap
-make up a chunk, so its boundaries follow from content alone and no insertion beside it moves them. A repeated run of
-two lines or more is removed whole, wherever it stands; the first occurrence of every line stays. A shorter line
-that is repeated alone stays.
+miss passages of few lines between other neighbours. The stage (``deduplicate``) removes the repeated chunks, cut and compared in the
+same way, and beside them, where a boundary is missing, passages anchored at their own edges: every two neighbouring lines, and every line
+over ``LONG_LINE`` words. Both are counted by a hash over the hashes of their lines and, where that is repeated, compared byte by byte;
+a repeated run of two lines or more is removed whole, wherever it stands; the first occurrence of every line stays. A shorter line
+that is repeated alone stays, unless it makes up a chunk with the blank lines around it.
 
-Hashes alone are counted over the whole corpus; content travels only for chunks with a repeated hash.
+Hashes alone are counted over the whole corpus; in the stage content travels only for chunks and passages with a repeated hash.
 
 Defined cases: a null text stays null and has no lines; an empty text is one empty line; texts whose
 every chunk or passage occurred before become empty; rows that are equal in id and text are one document and
@@ -108,26 +107,52 @@ def _passage(lines: Column, passage: Column) -> Column:
     return F.concat_ws("\n", F.get(lines, first), F.when(size > 1, F.get(lines, first + size - 1)))
 
 
-def _rolled(hashes: Column, passage: Column) -> Column:
-    """Rolling hash of a passage over the hashes of its first and last line."""
-    first, size = _first(passage), _size(passage)
-    return F.xxhash64(F.get(hashes, first), F.when(size > 1, F.get(hashes, first + size - 1)))
+def _units(lines: Column, span: int, least_words: int) -> Column:
+    """The content-defined chunks of several lines (``whole``) and the passages of an array of lines, with the hash of each,
+    taken over the hashes of its lines."""
+
+    def unit(chunk: Column, hashed: Column, whole: bool) -> Column:
+        return F.struct(chunk.alias("chunk"), hashed.alias("hash"), F.lit(whole).alias("whole"))
+
+    def made(hashes: Column) -> Column:
+        chunks = F.filter(chunks_of(lines, span), lambda c: _size(c) > 1)
+        return F.concat(
+            F.transform(chunks, lambda c: unit(c, F.xxhash64(F.slice(hashes, _first(c) + 1, _size(c))), True)),
+            F.transform(
+                passages_of(lines, least_words),
+                lambda c: unit(c, F.xxhash64(F.get(hashes, _first(c)), F.when(_size(c) > 1, F.get(hashes, _first(c) + _size(c) - 1))), False),
+            ),
+        )
 
+    return bind(F.transform(lines, lambda x: F.xxhash64(x)), made)
 
-def _repeated(docs: DataFrame, units, content, rolled=None) -> DataFrame:
-    """key_id, key_text and chunk of every occurrence that is to be removed, of the packed chunks ``units(lines)``
-    compared byte by byte by ``content(lines, chunk)``. Chunks are counted by ``rolled(line hashes, chunk)``, or by the hash
-    of their content."""
-    keyed = docs.select(F.col("doc_id").alias("key_id"), F.xxhash64("text").alias("key_text"), "text").where("text is not null")
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("key_id"), F.xxhash64("text").alias("key_text"), "text").where("text is not null")
+
+
+def _later(again: DataFrame) -> DataFrame:
+    """key_id, key_text and chunk of every occurrence but the first of each content; ``again`` has the occurrences with hash and body."""
+    place = F.struct(F.col("key_id").isNull().alias("last"), "key_id", "key_text", "chunk")
+    first = again.groupBy("hash", "body").agg(F.min(place).alias("first"), F.max(place).alias("final"))
+    first = stored(first.where("first <> final"), "first-chunks")
+    return (
+        again.join(first, ["hash", "body"])
+        .where(~place.eqNullSafe(F.col("first")))
+        .select("key_id", "key_text", "chunk")
+    )
+
+
+def repeated_chunks(docs: DataFrame, span: int = 2) -> DataFrame:
+    """key_id, key_text and chunk of every later occurrence of a chunk of several lines."""
+    keyed = _keyed(docs)
 
     def multi(make) -> Column:
         """``make(content, hash, chunk)`` for the chunks."""
 
         def made(lines: Column) -> Column:
-            if rolled is None:
-                return F.transform(units(lines), lambda c: bind(content(lines, c), lambda body: make(body, F.xxhash64(body), c)))
-            hashes = F.transform(lines, lambda x: F.xxhash64(x))
-            return bind(hashes, lambda h: F.transform(units(lines), lambda c: make(content(lines, c), rolled(h, c), c)))
+            units = F.filter(chunks_of(lines, span), lambda c: _size(c) > 1)
+            return F.transform(units, lambda c: bind(_body(lines, c), lambda body: make(body, F.xxhash64(body), c)))
 
         return bind(F.split("text", "\n", -1), made)
 
@@ -141,25 +166,31 @@ def _repeated(docs: DataFrame, units, content, rolled=None) -> DataFrame:
             multi(lambda body, h, c: F.struct(c.alias("chunk"), body.alias("body"), h.alias("hash")))
         ),
     ).where("hash is not null")
-    again = stored(occurrences.join(twice.hint("merge"), "hash", "left_semi"), "chunks")  # grows, never broadcast
-    place = F.struct(F.col("key_id").isNull().alias("last"), "key_id", "key_text", "chunk")
-    first = again.groupBy("hash", "body").agg(F.min(place).alias("first"), F.max(place).alias("final"))
-    first = stored(first.where("first <> final"), "first-chunks")
-    return (
-        again.join(first, ["hash", "body"])
-        .where(~place.eqNullSafe(F.col("first")))
-        .select("key_id", "key_text", "chunk")
+    return _later(stored(occurrences.join(twice.hint("merge"), "hash", "left_semi"), "chunks"))  # grows, never broadcast
+
+
+def repeated_units(docs: DataFrame, span: int = 2, least_words: int = LONG_LINE) -> DataFrame:
+    """key_id, key_text and chunk of every later occurrence of a chunk of several lines or of a passage."""
+    keyed = _keyed(docs)
+    units = bind(F.split("text", "\n", -1), lambda lines: _units(lines, span, least_words))
+    spread = stored(keyed.select("key_id", "key_text", F.inline_outer(units)).where("hash is not null"), "units")
+    twice = stored(spread.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "unit-hashes")
+    again = spread.join(twice.hint("merge"), "hash", "left_semi")
+    found = again.groupBy(F.col("key_id").alias("found_id"), F.col("key_text").alias("found_text")).agg(
+        F.collect_set(F.struct("chunk", "hash", "whole")).alias("units")
     )
+    same = F.col("key_id").eqNullSafe(F.col("found_id")) & (F.col("key_text") == F.col("found_text"))
 
+    def bodies(lines: Column) -> Column:
+        def one(u: Column) -> Column:
+            body = F.when(u["whole"], _body(lines, u["chunk"])).otherwise(_passage(lines, u["chunk"]))
+            return F.struct(u["chunk"].alias("chunk"), body.alias("body"), u["hash"].alias("hash"))
 
-def repeated_chunks(docs: DataFrame, span: int = 2) -> DataFrame:
-    """key_id, key_text and chunk of every later occurrence of a chunk of several lines."""
-    return _repeated(docs, lambda lines: F.filter(chunks_of(lines, span), lambda c: _size(c) > 1), _body)
-
+        return F.transform("units", one)
 
-def repeated_passages(docs: DataFrame, least_words: int = LONG_LINE) -> DataFrame:
-    """key_id, key_text and chunk of every later occurrence of a passage."""
-    return _repeated(docs, lambda lines: passages_of(lines, least_words), _passage, _rolled)
+    held = keyed.join(found.hint("merge"), same)  # grows with the corpus, never broadcast
+    held = held.select("key_id", "key_text", F.inline_outer(bind(F.split("text", "\n", -1), bodies)))
+    return _later(stored(held, "chunks"))
 
 
 def _joined(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -195,9 +226,9 @@ def remove_repeated(docs: DataFrame, span: int = 2) -> DataFrame:
     )
 
 
-def remove_passages(docs: DataFrame, least_words: int = LONG_LINE) -> DataFrame:
-    """``row`` (the input columns), ``kept_text`` and ``n_removed`` of every row."""
-    joined = _joined(docs, repeated_passages(docs, least_words))
+def remove_passages(docs: DataFrame, span: int = 2, least_words: int = LONG_LINE) -> DataFrame:
+    """``row`` (the input columns), ``kept_text`` and ``n_removed`` of every row: lines of repeated chunks and passages go."""
+    joined = _joined(docs, repeated_units(docs, span, least_words))
     gone = F.array_distinct(
         F.flatten(F.transform("removed", lambda c: F.sequence(_first(c), _first(c) + _size(c) - 1)))
     )
@@ -215,9 +246,9 @@ def remove_passages(docs: DataFrame, least_words: int = LONG_LINE) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, least_words: int = LONG_LINE) -> DataFrame:
-    """The documents without repeated passages, all other columns as they were; ``n_chars`` follows the text."""
-    out = remove_passages(docs, least_words)
+def deduplicate(docs: DataFrame, span: int = 2, least_words: int = LONG_LINE) -> DataFrame:
+    """The documents without repeated chunks and passages, all other columns as they were; ``n_chars`` follows the text."""
+    out = remove_passages(docs, span, least_words)
     columns = []
     for name in docs.columns:
         value = F.col(f"row.`{name}`")

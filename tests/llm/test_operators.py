@@ -362,6 +362,27 @@ def test_passages_between_other_neighbours(spark):
         assert got[later] == ("\n".join(own[later]) if n else texts[later])
 
 
+def test_the_stage_removes_repeated_chunks(spark):
+    """Lines of repeated content-defined chunks go in the stage as in the query, also a short line between blank ones."""
+    rng = random.Random(9)
+    common = [f"heading {i}" for i in range(6)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(8):
+            lines += [f"own {rng.randrange(10**9)} line", *[""] * rng.randrange(3), rng.choice(common), *[""] * rng.randrange(3)]
+        rows.append((i, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chunked = {r["row"]["doc_id"]: r for r in line_dedup.remove_repeated(docs).collect()}
+    staged = {r["row"]["doc_id"]: r for r in line_dedup.remove_passages(docs).collect()}
+    assert sum(r["n_removed"] for r in chunked.values()) > 20
+    for i, r in staged.items():
+        left = Counter(r["kept_text"].split("\n"))
+        assert r["n_removed"] >= chunked[i]["n_removed"] and not left - Counter(chunked[i]["kept_text"].split("\n"))
+    kept = {line for r in staged.values() for line in r["kept_text"].split("\n")}
+    assert kept == {line for _, t in rows for line in t.split("\n")}  # every line keeps its first occurrence
+
+
 def test_url_rules(spark):
     urls = {
         "https://WWW.Example.com/en/1": ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
