@@ -43,6 +43,8 @@ from retailcast.llm.components import connected
 FREQUENT = 1 << 20
 BITMAP = 1024  # bits
 PIECE = 1024  # members in one side of a block
+ROWS = 256  # groups compared with all others of a block at once
+SENT = 1 << 16  # pairs of a block's search sent together
 READ = 1 << 20  # characters split together
 HELD = 1 << 18  # words counted together in a task
 _BLANKS = frozenset(" \t\n\x0b\x0c\r")
@@ -156,9 +158,11 @@ def _blocks(rows: DataFrame, sizes: DataFrame, item: str, *fields: str) -> DataF
 
 def _fits(n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of groups under a shingle can be similar by size and position, if it is the first one that they share."""
-    a, b = n[:, None], n[None, :]
-    most = 1 + np.minimum(a - pos[:, None] - 1, b - pos[None, :] - 1)
-    fits = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * most >= percent * (a + b))
+    fits = np.zeros((len(n), len(n)), bool)
+    for at in range(0, len(n), ROWS):
+        a, b = n[at : at + ROWS, None], n[None, :]
+        most = 1 + np.minimum(a - pos[at : at + ROWS, None] - 1, b - pos[None, :] - 1)
+        fits[at : at + ROWS] = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * most >= percent * (a + b))
     same = np.arange(len(n))
     fits[same, same] = pos == 0  # members of one group share the first shingle of the prefix first
     return fits
@@ -203,12 +207,11 @@ def group_index(nodes: DataFrame, percent: int) -> DataFrame:
     return stored(kept.join(members.hint("merge"), "gid").select("token", "gid", "n", "pos", "node", "bits"), "index")
 
 
-def _possible(n, pos, gid, comp, bits, mine, percent):
-    """Pairs of members of a block that may be links, with the number of bits in which they differ."""
+def _possible(n, pos, gid, comp, bits, mine, percent) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member of a block, the later ones with which it may be linked, and the number of bits in which they differ."""
     groups, at, of = np.unique(gid, return_index=True, return_inverse=True)
     fits = _fits(n[at], pos[at], percent)
     crossed = mine.any() and not mine.all()
-    found = []
     for i in range(len(n)):
         j = np.flatnonzero(fits[of[i]][of[i + 1 :]]) + i + 1
         j = j[comp[j] != comp[i]]
@@ -218,10 +221,60 @@ def _possible(n, pos, gid, comp, bits, mine, percent):
             apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
             ok = (100 + percent) * apart <= (100 - percent) * (n[j] + n[i])
             if ok.any():
-                found.append((np.full(int(ok.sum()), i), j[ok], apart[ok]))
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+                yield i, j[ok], apart[ok]
+
+
+def _nearest(possible, node, comp, linked) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the pairs of a block, each member's with its nearest partner, smallest node first; with ``linked`` its nearest one
+    in each other component, members being in order of their component. A few numbers a member are held, never all pairs."""
+    least, partner, now = np.zeros(len(node), np.int64), np.full(len(node), -1), None
+
+    def taken() -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(partner >= 0)
+        return at, partner[at]
+
+    for i, j, apart in possible:
+        if linked and comp[i] != now:
+            if now is not None:
+                yield taken()
+                partner[:] = -1
+            now = comp[i]
+        held = partner[j]
+        closer = (held < 0) | (apart < least[j]) | ((apart == least[j]) & (node[i] < node[held]))
+        least[j[closer]], partner[j[closer]] = apart[closer], i
+        order = np.lexsort((node[j], apart, comp[j]) if linked else (node[j], apart))
+        if linked:
+            first = np.ones(len(j), bool)
+            first[1:] = comp[j[order]][1:] != comp[j[order]][:-1]
+            yield np.full(int(first.sum()), i), j[order][first]
+            continue
+        best, bits = j[order[0]], apart[order[0]]
+        if partner[i] < 0 or (bits, node[best]) < (least[i], node[partner[i]]):
+            least[i], partner[i] = bits, best
+    yield taken()
+
+
+def pairs_in(node, gid, n, pos, comp, bits, mine, percent: int, nearest: bool, linked: bool) -> Iterator[np.ndarray]:
+    """The pairs of nodes that a block names, smaller node first, in runs of about ``SENT``; a run has no pair twice."""
+    if linked:
+        order = np.argsort(comp, kind="stable")
+        node, gid, n, pos, comp, bits, mine = (x[order] for x in (node, gid, n, pos, comp, bits, mine))
+    found = _possible(n, pos, gid, comp, bits, mine, percent)
+    found = _nearest(found, node, comp, linked) if nearest else ((np.full(len(j), i), j) for i, j, _ in found)
+    held, size = [], 0
+
+    def run() -> np.ndarray:
+        a, b = np.concatenate(held, 1)
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+    for i, j in found:
+        held.append(np.stack([node[i], node[j]]))
+        size += len(i)
+        if size >= SENT:
+            yield run()
+            held, size = [], 0
+    if size:
+        yield run()
 
 
 def block_pairs(index: DataFrame, groups: DataFrame | None, percent: int, nearest: bool) -> DataFrame:
@@ -238,30 +291,26 @@ def block_pairs(index: DataFrame, groups: DataFrame | None, percent: int, neares
     blocks = _blocks(rows, sizes, "node", "node", "gid", "n", "pos", "comp", "bits")
     linked = groups is not None
 
+    def sent(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(found or [np.zeros((0, 2), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bounds, flat = _lists(batch, 0)
             node, gid, n, pos, comp = (_numbers(flat, k) for k in range(5))
-            bits = np.frombuffer(b"".join(flat.field(5).to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
             mine = flat.field(6).to_numpy(zero_copy_only=False).astype(bool)
-            out = []
+            out, size = [], 0
             for s, e in bounds:
-                i, j, apart = _possible(n[s:e], pos[s:e], gid[s:e], comp[s:e], bits[s:e], mine[s:e], percent)
-                i, j = i + s, j + s
-                if nearest and len(i):
-                    i, j, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
-                    order = np.lexsort((node[j], apart, comp[j], node[i]) if linked else (node[j], apart, node[i]))
-                    i, j = i[order], j[order]
-                    first = np.ones(len(i), bool)
-                    first[1:] = node[i][1:] != node[i][:-1]
-                    if linked:
-                        first[1:] |= comp[j][1:] != comp[j][:-1]
-                    i, j = i[first], j[first]
-                if len(i):
-                    ends = np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1)
-                    out.append(np.unique(ends, axis=0))
-            pairs = np.concatenate(out or [np.zeros((0, 2), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                bits = np.frombuffer(b"".join(flat.field(5).slice(s, e - s).to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+                block = (x[s:e] for x in (node, gid, n, pos, comp))
+                for pairs in pairs_in(*block, bits, mine[s:e], percent, nearest, linked):
+                    out.append(pairs)
+                    size += len(pairs)
+                    if size >= SENT:
+                        yield sent(out)
+                        out, size = [], 0
+            yield sent(out)
 
     return stored(blocks.select("rows").mapInArrow(search, "a long, b long").distinct(), "pairs")
 

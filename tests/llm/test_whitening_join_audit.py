@@ -1,6 +1,7 @@
 """Whitening, similarity join and filter audit against brute force and on edge cases."""
 
 import re
+import tracemalloc
 from itertools import permutations
 
 import numpy as np
@@ -121,6 +122,51 @@ def test_prefix_join_against_all_pairs(spark, monkeypatch, piece):
     assert len({r[2] for r in got}) < len(rows) - 10
 
 
+def block_of(size, groups, comps, spread):
+    rng = np.random.default_rng(size)
+    bits = np.tile(rng.integers(0, 2**63, prefix_join.BITMAP // 64, np.uint64), (size, 1))
+    bits[:, 0] ^= rng.integers(0, spread, size).astype(np.uint64)
+    gid = rng.integers(0, groups, size)
+    pos, n = rng.integers(0, 3, groups)[gid], rng.integers(90, 110, groups)[gid]
+    node = rng.permutation(10 * size)[:size]
+    comp = node if comps is None else rng.integers(0, comps, size)
+    return node, gid, n, pos, comp, bits, rng.integers(0, 2, size).astype(bool)
+
+
+@pytest.mark.parametrize(("nearest", "linked"), [(True, False), (True, True), (False, True)])
+def test_pairs_of_a_block_against_all_pairs(monkeypatch, nearest, linked):
+    monkeypatch.setattr(prefix_join, "ROWS", 7)
+    monkeypatch.setattr(prefix_join, "SENT", 50)
+    for size in (1, 2, 60, 150):
+        node, gid, n, pos, comp, bits, mine = block = block_of(size, 20, 9, 1 << 12)
+        if not linked:
+            comp, block = node, (*block[:4], node, *block[5:])
+        possible = {}
+        for a in range(size):
+            for b in range(size):
+                sized = 100 * min(n[a], n[b]) >= 90 * max(n[a], n[b]) and 190 * (1 + min(n[a] - pos[a] - 1, n[b] - pos[b] - 1)) >= 90 * (n[a] + n[b])
+                fits = pos[a] == 0 if gid[a] == gid[b] else sized
+                apart = int(np.bitwise_count(bits[a] ^ bits[b]).sum())
+                crossed = mine.any() and not mine.all()
+                if comp[a] != comp[b] and fits and (not crossed or mine[a] != mine[b]) and 190 * apart <= 10 * (n[a] + n[b]):
+                    possible.setdefault((a, comp[b] if nearest and linked else 0), []).append((apart, node[b]))
+        want = {tuple(sorted((node[a], m))) for (a, _), found in possible.items() for _, m in ([min(found)] if nearest else found)}
+        runs = list(prefix_join.pairs_in(*block, 90, nearest, linked))
+        assert {tuple(p) for run in runs for p in run.tolist()} == want
+        assert all(len(run) == len(np.unique(run, axis=0)) for run in runs)
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_a_block_of_near_copies_needs_little_memory(linked):
+    node, gid, n, pos, comp, bits, mine = block_of(2 * prefix_join.PIECE, 1, 3 if linked else None, 8)
+    block = node, gid, n, pos * 0, comp, bits, mine
+    tracemalloc.start()
+    pairs = sum(len(run) for run in prefix_join.pairs_in(*block, 90, True, linked))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs and peak < 40 << 20
+
+
 def test_prefix_join_of_no_rows(spark):
     assert prefix_join.similar_groups(docs_of(spark, [])).count() == 0
     assert prefix_join.similar_groups(docs_of(spark, [(1, None, "s")])).collect() == [(1, 0, 1)]
