@@ -17,57 +17,52 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
 import sys
-import unicodedata
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import pairwise
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from retailcast.session import scratch_path
 
-KNOWN = 350_000  # words of a generation that a task remembers
+KNOWN = 200_000  # parts of words in a generation that a task remembers
+LONGEST = 200  # characters of a part that is remembered
+TOGETHER = 4 << 20  # bytes of text whose distinct words are looked up together
 SIGNS = string.punctuation.replace("'", "")  # a run of them after letters is one piece
-LATIN = 0x250  # letters below it are Latin
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # Latin, each with one letter as its lower case
+PIECE = re.compile(f"[{LETTERS}]+")
+END = "</w>"  # at the end of the last token of a piece
 # fixed values: the steps of a tokenizer that can be applied word by word
 WORD_STEPS = [
     [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)],
     [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)],
     "BPE",
     None,
-    "</w>",
+    END,
     None,
 ]
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 
 
-class Memory(dict):
-    """Ids by word; a word that is missing is looked up and stays."""
-
-    def __init__(self, look_up: Callable[[str], bytes]):
-        super().__init__()
-        self.look_up = look_up
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.look_up(word)
-        return ids
-
-
 class WordEncoder:
-    """Encodes texts through a memory of words, as ids in the bytes of 32-bit integers.
+    """Encodes texts through a memory of words, many texts at a time: each distinct word is looked at once.
 
     A word of Latin letters, perhaps with signs after it, is taken apart: letters and signs are never
-    joined by the tokenizer. Such letters are one piece, which goes to the tokenizer's model as it is.
-    Any other word goes through the whole tokenizer. The memory has two generations: when the young one
-    is full it becomes the old one, and words met again move back, so rare words alone are forgotten.
+    joined by the tokenizer. Such letters are one piece in lower case, and pieces that are not in memory
+    go to the tokenizer's model together; its end ids tell them apart. Signs and any other word go through
+    the whole tokenizer. The memory has two generations: when the young one is full it becomes the old one,
+    and words met again move back, so rare words alone are forgotten.
 
     A definition with other steps than these is given whole texts.
     """
@@ -75,45 +70,87 @@ class WordEncoder:
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
         self.tokenizer = Tokenizer.from_str(definition)
-        self.by_word = steps_of(json.loads(definition)) == WORD_STEPS
-        self.model = self.tokenizer.model
-        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.shown = {c: shown(chr(c))[0][0] for c in range(128, LATIN) if chr(c).isalpha()}
-        self.known, self.old = Memory(self.word), {}
-        self.pieces, self.tails = Memory(self.piece), Memory(self.whole)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.by_word = steps_of(json.loads(definition)) == WORD_STEPS and all(
+            c in vocab and c + END in vocab for c in pre_tokenizers.ByteLevel.alphabet()
+        )
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.is_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.is_end[[i for token, i in vocab.items() if token.endswith(END)]] = True
+        self.known, self.old = {}, {}
 
     def whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        return array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
-
-    def word(self, word: str) -> bytes:
-        if word in self.old:
-            return self.old[word]
-        core = word.rstrip(SIGNS)
-        piece = self.letters_of(core)
-        if piece is None:
-            return self.whole(word)
-        return self.pieces[piece] + self.tails[word[len(core) :]]
-
-    def letters_of(self, core: str) -> str | None:
-        """The piece that the model gets for a core of Latin letters, None for any other."""
-        if core.isascii():
-            return core.lower() if core.isalpha() else None
-        plain = unicodedata.normalize("NFC", core).lower()
-        return plain.translate(self.shown) if plain.isalpha() and ord(max(plain)) < LATIN else None
-
     def encode(self, text: str | None) -> bytes:
-        if not text or not self.by_word:
-            return self.whole(text or "")
+        return self.lists(pa.array([text], pa.string())).values.to_numpy().tobytes()
+
+    def lists(self, texts: pa.Array, after: bytes = b"") -> pa.ListArray:
+        """Ids of each text, with the ids ``after`` behind them."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            return lists_of([self.whole(t) + after for t in texts.to_pylist()])
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1).tolist(), len(texts)]
+        return pa.concat_arrays([self.some_lists(texts.slice(a, b - a), after) for a, b in pairwise(cuts)])
+
+    def some_lists(self, texts: pa.Array, after: bytes) -> pa.ListArray:
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded, starts = words.flatten().dictionary_encode(), words.offsets.to_numpy()
+        order = np.insert(coded.indices.to_numpy(), starts[1:], len(coded.dictionary))
+        lists = pa.concat_arrays([self.word_lists(coded.dictionary), lists_of([after])])
+        return joined(lists, order, starts + np.arange(len(starts)))
+
+    def word_lists(self, words: pa.Array) -> pa.ListArray:
+        """Ids of each word: those of its letters and of the signs after them, or of the word as it is."""
+        cores = pc.ascii_rtrim(words, SIGNS)
+        plain = pc.match_substring_regex(cores, f"^[{LETTERS}]+$")
+        signed = pc.and_(plain, pc.not_equal(pc.binary_length(cores), pc.binary_length(words)))
+        heads = pc.if_else(plain, pc.utf8_lower(cores), words)
+        tails = pc.replace_substring_regex(words.filter(signed), f"^[{LETTERS}]+", "")
+        coded, signed = pa.concat_arrays([heads, tails]).dictionary_encode(), signed.to_numpy(zero_copy_only=False)
+        order = coded.indices.to_numpy()
+        order = np.insert(order[: len(words)], np.flatnonzero(signed) + 1, order[len(words) :])
+        starts = np.arange(len(words) + 1)
+        starts[1:] += np.cumsum(signed)
+        return joined(lists_of(self.look_up(coded.dictionary.to_pylist())), order, starts)
+
+    def look_up(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts of words, from memory if they are there."""
         if len(self.known) > KNOWN:
-            self.known, self.old = Memory(self.word), self.known
-        if len(self.pieces) > KNOWN:
-            self.pieces = Memory(self.piece)
-        if len(self.tails) > KNOWN:
-            self.tails = Memory(self.whole)
-        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+            self.known, self.old = {}, self.known
+        found = list(map(self.known.get, parts))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        pieces = []
+        for i in missing:
+            found[i] = self.old.get(parts[i])
+            if found[i] is None:
+                if PIECE.fullmatch(parts[i]):
+                    pieces.append(i)
+                else:
+                    found[i] = self.whole(parts[i])
+        for at in range(0, len(pieces), 10_000):
+            some = pieces[at : at + 10_000]
+            coded = self.pieces.encode_batch_fast([[parts[i] for i in some]], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(coded[0].ids, np.int32)
+            ends, ids = (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist(), ids.tobytes()
+            for i, a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
+                found[i] = ids[a:b]
+        self.known.update((parts[i], found[i]) for i in missing if len(parts[i]) <= LONGEST)
+        return found
+
+
+def lists_of(found: list[bytes]) -> pa.ListArray:
+    """Ids in the bytes of 32-bit integers as lists."""
+    bounds = np.cumsum([0, *map(len, found)]) // 4
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def joined(lists: pa.ListArray, order: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    """The lists numbered in ``order``, with those from one start to the next made one."""
+    found = lists.take(pa.array(order))
+    return pa.ListArray.from_arrays(found.offsets.take(pa.array(starts)), found.values)
 
 
 def worker_encoder(definition: str) -> WordEncoder:
@@ -146,10 +183,7 @@ def ids_of(text: Column, definition: str, end_id: int = 1) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, end = worker_encoder(definition), array("i", [end_id]).tobytes()
         for texts in batches:
-            found = [encoder.encode(t.as_py()) + end for t in texts]
-            bounds = np.cumsum([0, *map(len, found)]) // 4
-            values = pa.array(np.frombuffer(b"".join(found), np.int32))
-            yield pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
+            yield encoder.lists(texts, end)
 
     return run(text)
 

@@ -4,11 +4,14 @@ import hashlib
 import json
 import random
 import re
+import sys
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -330,6 +333,40 @@ def test_words_encode_like_whole_texts(monkeypatch):
     assert not encoder.by_word and np.frombuffer(encoder.encode("one two three"), "<i4").tolist() == want
 
 
+def test_forms_of_a_word_are_looked_up_once():
+    definition = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    encoder = token_files.WordEncoder(definition)
+    cores = ["".join(x) for x in product("bcdfg", "aeiou", "lmnr")]
+    forms = [form + signs for core in cores for form in (core, core.upper(), core.title()) for signs in ("", ",", ".", ";", "!!", "?")]
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        found = encoder.encode(" ".join(forms))
+    finally:
+        sys.setprofile(None)
+    want = Tokenizer.from_str(definition).encode(" ".join(forms), add_special_tokens=False).ids
+    assert np.frombuffer(found, "<i4").tolist() == want
+    assert calls["call"] + calls["c_call"] < len(forms)  # 100 words in 1,800 forms
+
+
+def test_lists_of_many_texts(monkeypatch):
+    definition = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    tokenizer = Tokenizer.from_str(definition)
+    signs = [chr(c) for c in range(0x250)]  # every letter that may count as Latin, and those that do not
+    texts = [t for c in signs for t in (f"x{c}y {c} {c}{c},", f"{c}Ab{c}.", None)] + ["", " ", "\n\n", "word " * 500]
+    texts += [" ".join(f"{c}b{c.upper()}{c.lower()}!" for c in signs), "w" * 1000 + " " + "w" * 1000]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    end = np.array([1], "<i4").tobytes()
+    for together in (40, 1 << 20):
+        monkeypatch.setattr(token_files, "TOGETHER", together)
+        encoder = token_files.WordEncoder(definition)
+        for _ in range(2):  # new words, then known ones
+            assert encoder.lists(pa.array(texts), end).to_pylist() == want
+        assert encoder.lists(pa.array(["left out", *texts]).slice(1), end).to_pylist() == want  # a part of an array
+        assert max(map(len, encoder.known)) <= token_files.LONGEST
+    assert encoder.lists(pa.array([], pa.string()), end).to_pylist() == []
+
+
 def test_line_dedup(docs, none):
     rows = {r["doc_id"]: r for r in line_dedup.report(docs).collect()}
     assert rows[7]["n_removed"] == 0 and 0 < rows[8]["n_removed"] <= 8 and rows[4]["n_lines"] == 0
